@@ -5,18 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import id_files, mixing, sharding, token_counts
 from .common import columns, table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.id_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -57,7 +71,9 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op7_id_files": op7_id_files,
 }
 ORACLES = {"op4_mixing": OP4_SQL}
 
