@@ -101,7 +101,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", te
     cells, load = _propagate(keep(cells, "cells"), quota, rounds)
 
     # ranks within (wanted shard, bucket), made global by the buckets' running counts
-    buckets = max(64, -(-total // 1_000_000))
+    buckets = max(1024, -(-total // 1_000_000))
     placed = (
         rows.join(cells.select("link", "part", "label"), ["link", "part"], "left")
         .withColumn("want", F.coalesce("label", F.lit(-1)))
