@@ -20,7 +20,7 @@ WEIGHTS = (5, 2, 1)
 #: No document is taken more often than this.
 MOST_COPIES = 3
 #: Order buckets of a source, as a power of two; the boundary lies in one of them.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 12
 
 
 def uniform(*cols, seed: str):
