@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, mixing, sharding, token_counts
+from . import id_files, jaccard, mixing, sharding, token_counts
 from .common import columns, table
 
 
@@ -31,6 +31,10 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -74,6 +78,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op7_id_files": op7_id_files,
+    "op9_ngram_jaccard": op9_ngram_jaccard,
 }
 ORACLES = {"op4_mixing": OP4_SQL}
 
