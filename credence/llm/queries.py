@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, jaccard, mixing, sharding, token_counts
+from . import id_files, jaccard, language, mixing, sharding, token_counts, warc
 from .common import columns, table
 
 
@@ -27,14 +27,37 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.identify(docs, language.train(docs))
+
+
 def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.id_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=2)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS h FROM pages
+), q AS (
+  SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p
+), m AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS holder FROM q
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND holder <> page_id THEN holder END AS refers_to
+FROM m
+"""
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -77,10 +100,12 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op6_language": op6_language,
     "op7_id_files": op7_id_files,
+    "op8_warc": op8_warc,
     "op9_ngram_jaccard": op9_ngram_jaccard,
 }
-ORACLES = {"op4_mixing": OP4_SQL}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL}
 
 
 def queries() -> dict:
