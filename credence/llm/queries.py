@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, jaccard, language, mixing, sharding, token_counts, warc
+from . import id_files, jaccard, language, media, mixing, sharding, token_counts, warc
 from .common import columns, table
 
 
@@ -27,6 +27,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.train(docs))
@@ -100,6 +104,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_media": op5_media,
     "op6_language": op6_language,
     "op7_id_files": op7_id_files,
     "op8_warc": op8_warc,
