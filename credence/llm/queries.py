@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import id_files, jaccard, language, media, mixing, sharding, token_counts, warc
-from .common import columns, table
+from . import decontamination, id_files, jaccard, language, line_dedup, media, mixing, sharding, token_counts, warc
+from .common import table
 
 
 def _vocabulary(name: str) -> str:
@@ -19,6 +19,12 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    digest = [F.octet_length("clean_text").cast("long").alias("clean_bytes"), F.crc32("clean_text").alias("clean_crc32")]
+    return out.select("doc_id", "n_lines", "n_removed", *digest)
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
@@ -48,6 +54,16 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.ngram_components(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 OP8_SQL = """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS h FROM pages
@@ -102,6 +118,7 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_line_dedup": op2_line_dedup,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
     "op5_media": op5_media,
@@ -109,6 +126,8 @@ QUERIES = {
     "op7_id_files": op7_id_files,
     "op8_warc": op8_warc,
     "op9_ngram_jaccard": op9_ngram_jaccard,
+    "op10_decontamination": op10_decontamination,
+    "pipeline": pipeline,
 }
 ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL}
 
