@@ -69,7 +69,7 @@ class Seeds:
 
     @classmethod
     def of(cls, ids: list, texts: list[str]) -> Seeds:
-        words = [w for _, w in Words(NOT_WORD).of(texts)]
+        words = [w for _, w in Words(NOT_WORD).of([t.lower() for t in texts])]
         hashes, item, pos, short = [], [], [], set()
         for i, w in enumerate(words):
             for h in _masked(w) or ([_runs(w, len(w))] if len(w) else []):
@@ -115,7 +115,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     """key, item_id, first_word, n_words and n_equal for each row of ``docs`` that shares a stretch
     with an item of ``benchmark``: the longest one of each pair.
 
-    Words are runs of ASCII letters, digits and bytes beyond ASCII, A to Z in lower case.  A stretch
+    Words are runs of ASCII letters, digits and characters beyond ASCII, in lower case.  A stretch
     counts with 10 equal words (or all of a shorter item) that are 80 % of it; up to two substitutions in 12
     words can't hide one.  Null and empty texts, and items without a word, share nothing.  Repeated
     rows are reported each; a repeated item id counts once for each text.  Empty tables give an
@@ -141,7 +141,7 @@ def _search(shared):
         seeds, cut = shared.value, Words(NOT_WORD)
         for df in batches:
             ids, out = df["doc_id"].tolist(), []
-            for i, words in cut.of(df["text"].tolist()):
+            for i, words in cut.of([t.lower() for t in df["text"]]):
                 best: dict = {}
                 for item, diagonal in seeds.hits(words):
                     found = seeds.overlap(words, item, diagonal)
