@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import queries_models, queries_series, queries_summary
+from .queries_series import flagship
 
+QUERIES: dict = {**queries_series.QUERIES, **queries_summary.QUERIES, **queries_models.QUERIES}
+ORACLES: dict = {**queries_series.ORACLES, **queries_summary.ORACLES, **queries_models.ORACLES}
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["ORACLES", "QUERIES", "flagship"]
