@@ -17,6 +17,7 @@ import os
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -200,6 +201,12 @@ class RunEncoder:
         return [b"".join(map(seen, r)) + self.end for r in runs]
 
 
+@cache
+def encoder(path: str, end_id: int, dtype: str) -> RunEncoder:
+    """The encoder of a worker, which outlives its tasks."""
+    return RunEncoder(path, end_id, dtype)
+
+
 def write_id_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, key: str = "doc_id", text: str = "text", files: int | None = None) -> DataFrame:
     """Encode ``docs`` into id files under ``folder`` in ascending order of ``key``.
 
@@ -218,13 +225,13 @@ def write_id_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, key
         from pyspark import TaskContext
 
         part, seq, writer, written = TaskContext.get().partitionId(), 0, None, 0
-        encoder = RunEncoder(path, end_id, dtype)
+        encode = encoder(path, end_id, dtype).encode
         _filesystem(folder)[0].create_dir(_filesystem(folder)[1], recursive=True)
         for df in batches:
             keys = [None if pd.isna(k) else int(k) for k in df["k"].tolist()]
             texts = df["text"].tolist()
             for a, b in chunks(texts):
-                for k, ids in zip(keys[a:b], encoder.encode(texts[a:b])):
+                for k, ids in zip(keys[a:b], encode(texts[a:b])):
                     if writer is None:
                         writer = FileWriter(f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", dtype)
                     writer.add(k, ids)
