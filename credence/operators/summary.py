@@ -119,10 +119,10 @@ def ess(draws: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
     gammas = split.groupBy(*by, "half").applyInPandas(lags, f"{keys}, lag long, gamma double")
     mean_gamma = gammas.groupBy(*by, "lag").agg(F.avg("gamma").alias("gamma")).join(stats, list(by))
-    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - (F.col("w") - F.col("gamma")) / F.col("var_plus"))
+    rho = F.when(F.col("lag") == 0, F.lit(1.0)).otherwise(1 - F.try_divide(F.col("w") - F.col("gamma"), F.col("var_plus")))
     pairs = mean_gamma.withColumn("rho", rho).withColumn("pair", F.floor(F.col("lag") / 2)).groupBy(*by, "pair").agg(F.sum("rho").alias("p"), F.count("*").alias("c"))
     so_far = Window.partitionBy(*by).orderBy("pair").rowsBetween(Window.unboundedPreceding, 0)
-    bad = (F.col("p") < 0) | F.isnan("p") | (F.abs("p") == float("inf"))
+    bad = F.col("p").isNull() | (F.col("p") < 0) | F.isnan("p") | (F.abs("p") == float("inf"))
     kept = pairs.where("c = 2").withColumn("ended", F.max(bad.cast("int")).over(so_far)).withColumn("low", F.min("p").over(so_far))
     sums = kept.where("ended = 0").groupBy(*by).agg(F.sum("low").alias("s"))
     total = F.col("m") * F.col("n")
