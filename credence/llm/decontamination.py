@@ -100,15 +100,15 @@ class Seeds:
         own = self.words[item]
         lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
         same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
-        # the stretch with the largest sum of +1 for an equal word and -3 for another
-        sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -3))])
-        low = np.minimum.accumulate(sums)
-        last = int(np.argmax(sums - low))
-        first = int(np.flatnonzero(sums[: last + 1] == low[last])[-1])
-        n, equal = last - first, int(same[first:last].sum())
-        if equal < min(LEAST_WORDS, len(own)) or equal < LEAST_SHARE * n:
-            return None
-        return lo + first + diagonal, n, equal
+        for cost in (1, 2, 3):  # the stretch with the largest sum of 1 for an equal word and -cost for another
+            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -cost))])
+            low = np.minimum.accumulate(sums)
+            last = int(np.argmax(sums - low))
+            first = int(np.flatnonzero(sums[: last + 1] == low[last])[-1])
+            n, equal = last - first, int(same[first:last].sum())
+            if equal >= min(LEAST_WORDS, len(own)) and equal >= LEAST_SHARE * n:
+                return lo + first + diagonal, n, equal
+        return None
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
