@@ -7,7 +7,6 @@ written as Parquet in the shared folder and read again between stages.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from credence.llm import decontamination, jaccard, language, mixing, sharding
 from credence.llm.common import keep, table
@@ -52,9 +51,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    taken = mixing.mix_sources(docs, carry=True)
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("mix$copies").cast("int")))
-    return taken.where("`mix$copies` > 0").select(*[taken[c] for c in docs.columns], copies.alias("mix$copy")).drop("mix$copy")
+    return mixing.mix_sources(docs, carry=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

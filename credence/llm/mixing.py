@@ -60,10 +60,11 @@ MOST_BROADCAST = 100_000
 
 
 def _sized(docs: DataFrame, key: str, text: str, source: str, weight: str | None) -> DataFrame:
-    """``docs`` with what the draw needs, under names of its own."""
+    """Each row of ``docs`` as mix$row, with what the draw needs."""
     odds = F.when(docs[weight] > 0, docs[weight].cast("double")).otherwise(F.lit(0.0)) if weight else F.lit(1.0)
     words = F.coalesce(F.regexp_count(docs[text], F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    return docs.select(docs["*"], docs[key].alias("mix$id"), docs[source].alias("mix$source"), odds.alias("mix$odds"), words.alias("mix$size"))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("mix$row")
+    return docs.select(row, docs[key].alias("mix$id"), docs[source].alias("mix$source"), odds.alias("mix$odds"), words.alias("mix$size"))
 
 
 def _ordered(sized: DataFrame, per_source: DataFrame, seed: str) -> DataFrame:
@@ -82,7 +83,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, key:
     """How often each row of ``docs`` is taken, so that sources come near their targets.
 
     Returns key, size (words of the text), source_size, target, taken (words, repeats counted) and
-    copies; with ``carry``, the columns of ``docs`` and ``mix$copies``.  ``weight`` names a column of
+    copies; with ``carry``, the rows of ``docs`` as often as they are taken.  ``weight`` names a column of
     relative inclusion odds (null or below 0 counts as 0); without it a source's documents are
     equally likely.  Null and empty texts have size 0 and are never taken.  A null source is a source
     of its own, last in order.  Repeated rows share a rank: all are taken or none, beyond the whole
@@ -126,7 +127,9 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, most: int = MOST_COPIES, key:
     copies = F.when(F.col("mix$size") > 0, F.col("mix$sure") + extra.cast("long")).otherwise(0).cast("long")
     whole = whole.withColumn("mix$copies", copies)
     if carry:
-        return whole.select(*[whole[c] for c in docs.columns], "mix$copies")
+        repeats = F.explode(F.array_repeat(F.lit(1), F.col("mix$copies").cast("int"))).alias("mix$copy")
+        whole = whole.where("`mix$copies` > 0").select("mix$row", repeats)
+        return whole.select(*[F.col("mix$row").getField(c).alias(c) for c in docs.columns])
     return whole.select(
         F.col("mix$id").alias(key), F.col("mix$size").alias("size"), F.col("mix$source_size").alias("source_size"), F.col("mix$target").alias("target"),
         (F.col("mix$copies") * F.col("mix$size")).alias("taken"), F.col("mix$copies").alias("copies"),
