@@ -49,6 +49,16 @@ def _rng(seed: int, series: str, chain: int, domain: int) -> np.random.Generator
     return np.random.Generator(np.random.Philox([split_mix(seed, chain, domain), zlib.crc32(series.encode())]))
 
 
+#: Values that a fit may retain for a series, and a forecast for a draw table, unless told otherwise.
+MOST_RETAINED, MOST_FORECAST = 50_000_000, 25_000_000
+
+
+def check_size(values: int, most: int, what: str) -> None:
+    """Refuse a run that would make more values than asked for; raise the limit where the cluster is up to it."""
+    if values > most:
+        raise StateSpaceError(f"{what} would hold {values} values; the limit is {most}")
+
+
 def _check_run(chains: int, draws: int, warmup: int = 0, thin: int = 1) -> None:
     if min(chains, draws, thin) < 1 or warmup < 0:
         raise StateSpaceError("chains, draws and thin must be 1 or more")
@@ -238,9 +248,10 @@ class SeasonalLocalLevel:
         return out
 
 
-def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed=42) -> DataFrame:
+def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed=42, most=MOST_RETAINED) -> DataFrame:
     """Draws (series_id, chain, draw, variances, last states) of a structural model for every series."""
     _check_run(chains, draws, warmup, thin)
+    check_size(chains * draws * len(model.NAMES), most, "a series' draws")
     kind = lambda n: "array<double>" if n == "terminal_seasonal" else "double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

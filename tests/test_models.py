@@ -105,3 +105,16 @@ def test_declaration_errors():
         c.compile()
     with pytest.raises(InferenceError):
         H.check_options(0, 1, 1, 0, 0.8, 10, 15)
+
+
+def test_templates_and_tables(spark):
+    from credence.plans import templates
+
+    rng = np.random.default_rng(4)
+    rows = [(*[float(g == k) for k in range(3)], [0.0, 1.0, 2.0][g] + rng.normal(0, 0.3)) for g in range(3) for _ in range(40)]
+    df = spark.createDataFrame(rows, "g0 double, g1 double, g2 double, y double")
+    for model, names in ((templates.hierarchy(["g0", "g1", "g2"]), "group_"), (templates.centred_hierarchy(["g0", "g1", "g2"]), "offset_")):
+        draws = H.sample(model, df, chains=2, draws=200, warmup=200).persist()
+        got = {r.param: r.mean for r in S.mean_std(draws).collect()}
+        assert 1.7 < got[f"{names}g2"] - got[f"{names}g0"] < 2.3
+    assert "param" in S.format_table(S.diagnostics(draws))
