@@ -168,13 +168,13 @@ def lag_features(spark, sf):
 
 
 FULL = f"{SER}, full_series AS (SELECT series_id, t, coalesce(y, 0) AS y FROM series)"
-ROLL = ", ".join(f"round(avg(y) OVER w{w}, 6) AS mean_{w}, round(stddev_pop(y) OVER w{w}, 6) AS std_{w}, round(CASE WHEN count(y) OVER w{w} >= 2 THEN covar_pop(y, t::DOUBLE) OVER w{w} / var_pop(t::DOUBLE) OVER w{w} ELSE 0 END, 6) AS slope_{w}" for w in (3, 12))
+ROLL = ", ".join(f"round(avg(y) OVER w{w}, 11) AS mean_{w}, round(stddev_pop(y) OVER w{w}, 8) AS std_{w}, round(CASE WHEN count(y) OVER w{w} >= 2 THEN covar_pop(y, t::DOUBLE) OVER w{w} / var_pop(t::DOUBLE) OVER w{w} ELSE 0 END, 10) AS slope_{w}" for w in (3, 12))
 
 
 @query(f"{FULL} SELECT series_id, t, {ROLL} FROM full_series WINDOW w3 AS (PARTITION BY series_id ORDER BY t ROWS 2 PRECEDING), w12 AS (PARTITION BY series_id ORDER BY t ROWS 11 PRECEDING)")
 def rolling_features(spark, sf):
     out = W.rolling_features(daily_revenue(spark, sf).fillna(0.0, ["y"]), (3, 12))
-    return out.select("series_id", "t", *[r(f"{n}_{w}") for w in (3, 12) for n in ("mean", "std", "slope")])
+    return out.select("series_id", "t", *[r(f"{n}_{w}", d) for w in (3, 12) for n, d in (("mean", 11), ("std", 8), ("slope", 10))])
 
 
 @query(f"{SER}, d AS (SELECT series_id, y - lag(y, 7) OVER (PARTITION BY series_id ORDER BY t) AS c FROM series) SELECT series_id, round(quantile_cont(c, 0.5), 6) AS drift, count(c) AS pairs FROM d WHERE c IS NOT NULL GROUP BY ALL")
