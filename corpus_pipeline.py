@@ -6,7 +6,9 @@ written as Parquet in the shared folder and read again between stages.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from credence.llm import decontamination, jaccard, language, mixing, sharding
 from credence.llm.common import keep, table
@@ -23,13 +25,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; what goes has no letter or no clear language."""
     model = spark.sparkContext.broadcast(language.train(docs))
 
-    def recognised(batches):
-        for df in batches:
-            names, scores = model.value.score(df["text"].tolist())
-            kept = [n != language.UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores)]
-            yield df[kept]
+    @F.pandas_udf("boolean")
+    def recognised(text: pd.Series) -> pd.Series:
+        names, scores = model.value.score(text.tolist())
+        return pd.Series([n != language.UNKNOWN and s >= LEAST_SCORE for n, s in zip(names, scores)])
 
-    return docs.mapInPandas(recognised, docs.schema)
+    return docs.where(recognised(docs["text"]))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
