@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -26,12 +27,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the scratch folder and read it again: cuts lineage, survives lost executors."""
+def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it again: cuts lineage, survives lost executors.
+
+    ``release`` after a large shuffle: Spark deletes shuffle files when the driver collects what
+    refers to them, which this asks for."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if release:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def forget(df: DataFrame) -> None:

@@ -30,8 +30,12 @@ from .common import columns, forget, keep
 from .words import WHITE, Words, mixed, shingles
 
 _U = np.uint64
-#: Rounds in which a signature's sets are tried against one pivot, before all that is still apart is.
-PIVOT_ROUNDS = 5
+#: Pivots of each round, against which a signature's sets are tried before all that are still apart are.
+PIVOTS = (1, 4, 12)
+#: Sets of a group that one task compares with each other.
+BLOCK = 2000
+#: Buckets of a set's sketch: shingles counted by hash.
+SKETCH = 128
 #: Tables of at most this many rows of two numbers may be broadcast.
 MOST_BROADCAST = 500_000
 
@@ -137,12 +141,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         hooked = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("new"))
-        hooked = keep(hooked, "hooked")
-        jump = hooked.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        moved = hooked.join(jump, "new").select("node", F.least("new", "far").alias("label"), (F.least("new", "far") != F.col("label")).alias("moved"))
-        moved = keep(moved, "labels")
+        far = labels.select(F.col("node").alias("new"), F.col("label").alias("far"))
+        moved = hooked.join(far, "new").select("node", F.least("new", "far").alias("new"), "label")
+        moved = keep(moved.select("node", F.col("new").alias("label"), (F.col("new") != F.col("label")).alias("moved")), "labels")
         changed = moved.where("moved").limit(1).count()
-        forget(hooked)
         forget(labels)
         labels = moved.select("node", "label")
         if not changed:
@@ -195,7 +197,7 @@ class Join:
         return self.docs.where("doc_id is not null").mapInPandas(run, "sig long, node long")
 
     def sets(self, wanted: DataFrame) -> DataFrame:
-        """(node, items) of the nodes ``wanted`` (rep, node), from the text of one document of each."""
+        """(node, n, sketch, items) of the nodes ``wanted`` (rep, node), from the text of one document of each."""
         size = self.size
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,21 +207,75 @@ class Join:
                 for i, w in cut.of(df["text"].tolist()):
                     s = shingles(w, size)
                     if _profile(s) == nodes[i]:  # a repeated id may have another text
-                        out.append((nodes[i], s.view(np.int64)))
-                yield pd.DataFrame(out, columns=["node", "items"])
+                        counts = np.bincount((mixed(s, 41) >> _U(57)).astype(np.int64), minlength=SKETCH)
+                        out.append((nodes[i], len(s), np.minimum(counts, 127).astype(np.int8), s.view(np.int64)))
+                yield pd.DataFrame(out, columns=["node", "n", "sketch", "items"])
 
         few = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST else wanted
-        return self.docs.join(few, F.col("doc_id") == F.col("rep")).select("node", "text").mapInPandas(run, "node long, items array<long>").dropDuplicates(["node"])
+        return self.docs.join(few, F.col("doc_id") == F.col("rep")).select("node", "text").mapInPandas(run, "node long, n long, sketch array<tinyint>, items array<long>").dropDuplicates(["node"])
+
+    def likely(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose sizes and sketches allow the similarity: sets that differ in d shingles
+        have sketches that differ by d at most, so none that is similar is lost."""
+        num, den = self.scheme.num, self.scheme.den
+        one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a"))
+        two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        total = F.col("n_a") + F.col("n_b")
+        apart = F.aggregate(F.zip_with("sketch_a", "sketch_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+        sizes = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
+        return pairs.join(one, "a").join(two, "b").where(sizes).where((num + den) * apart <= (den - num) * total).select("a", "b")
+
+    def rest(self, apart: DataFrame, sets: DataFrame) -> DataFrame:
+        """The likely pairs (a, b) among the sets that share a signature and are still apart.
+
+        Sketches are compared within tasks and only likely pairs leave them.  A group of more than
+        BLOCK sets is dealt out as pairs of blocks, so a task holds two blocks at a time."""
+        num, den = self.scheme.num, self.scheme.den
+        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+        own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
+        dealt = apart.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("sig", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        dealt = dealt.join(sets.select("node", "n", "sketch"), "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+
+        def compare(df: pd.DataFrame):
+            own, i, j = (df[c].to_numpy() for c in ("own", "i", "j"))
+            node, label, n = (df[c].to_numpy(np.int64) for c in ("node", "label", "n"))
+            sketch = np.stack(df["sketch"].to_numpy()).astype(np.int16)
+            for k in range(len(df) - 1):
+                to = slice(k + 1, None)
+                total, small, large = n[k] + n[to], np.minimum(n[k], n[to]), np.maximum(n[k], n[to])
+                ok = (label[k] != label[to]) & (den * small >= num * large) & ((own[k] != own[to]) | (i[k] == j[k]))
+                at = np.flatnonzero(ok)
+                if len(at):
+                    apart = np.abs(sketch[k + 1 + at] - sketch[k]).sum(1, dtype=np.int64)
+                    for m in at[(num + den) * apart <= (den - num) * total[at]]:
+                        yield min(node[k], node[k + 1 + m]), max(node[k], node[k + 1 + m])
 
-    def linked(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held = None
+            for df in batches:
+                df = df if held is None else pd.concat([held, df], ignore_index=True)
+                key = df[["sig", "i", "j"]].to_numpy(np.int64)
+                starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+                held = df.iloc[starts[-1] :]  # the last group may go on
+                found = {p for a, b in zip(starts[:-1], starts[1:]) for p in compare(df.iloc[a:b])}
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+            if held is not None:
+                yield pd.DataFrame(sorted(set(compare(held))), columns=["a", "b"])
+
+        return dealt.mapInPandas(run, "a long, b long").distinct()
+
+    def linked(self, likely: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar: intersections of whole sets, counted exactly."""
-        one = sets.select(F.col("node").alias("a"), F.col("items").alias("of_a"))
-        two = sets.select(F.col("node").alias("b"), F.col("items").alias("of_b"))
+        one, two = sets.select("node", F.col("items").alias("of_a")), sets.select(F.col("node").alias("b"), F.col("items").alias("of_b"))
+        if likely.count() <= MOST_BROADCAST:  # then only the sets that are needed move
+            one = one.join(F.broadcast(likely), F.col("node") == F.col("a")).drop("node")
+            two = two.join(F.broadcast(likely.select("b").distinct()), "b", "left_semi")
+        else:
+            one = one.join(likely, F.col("node") == F.col("a")).drop("node")
         both = F.size(F.array_intersect("of_a", "of_b")).cast("long")
         total = F.size("of_a") + F.size("of_b")
-        close = self.scheme.den * both >= self.scheme.num * (total - both)
-        sizes = (self.scheme.den * F.least(F.size("of_a"), F.size("of_b"))) >= self.scheme.num * F.greatest(F.size("of_a"), F.size("of_b"))
-        return pairs.join(one, "a").join(two, "b").where(sizes).where(close).select("a", "b")
+        return one.join(two, "b").where(self.scheme.den * both >= self.scheme.num * (total - both)).select("a", "b")
 
 
 def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 100, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -239,32 +295,39 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
 
     of_sig = Window.partitionBy("sig")
     members = run.signatures().withColumn("least", F.min("node").over(of_sig)).withColumn("most", F.max("node").over(of_sig))
-    members = keep(members.where("least != most").select("sig", "node").distinct(), "members")
+    # signatures with the same sets say the same: one of them is enough
+    members = members.where("least != most").select("sig", "node").distinct()
+    members = members.withColumn("size", F.count("*").over(of_sig)).withColumn("group", F.bit_xor(F.xxhash64("node", F.lit("group"))).over(of_sig))
+    members = members.withColumn("first", F.min("sig").over(Window.partitionBy("group", "size", "node"))).where("sig = first")
+    by_hash = of_sig.orderBy(F.xxhash64("node"), "node")
+    members = keep(members.select("sig", "node", "size", (F.row_number().over(by_hash) - 1).alias("place")), "members", release=True)
     wanted = keep(members.select("node").distinct().join(nodes, "node").select("rep", "node"), "wanted")
-    sets = keep(run.sets(wanted), "sets")
+    sets = keep(run.sets(wanted), "sets", release=True)
 
-    edges = tested = labels = None
+    edges = labels = None
     apart = members.withColumn("label", F.col("node"))
-    for step in range(PIVOT_ROUNDS + 1):
-        if step < PIVOT_ROUNDS:
-            pivot = F.min(F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "label")).over(of_sig)
-            tried = apart.withColumn("pivot", pivot).where("label != pivot.label").select(F.least("node", "pivot.node").alias("a"), F.greatest("node", "pivot.node").alias("b"))
-        else:  # all that share a signature and are still apart: few, and each has to be tried
-            other = apart.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"))
-            tried = apart.withColumnRenamed("node", "a").join(other, "sig").where("a < b and label != label_b").select("a", "b")
-        tried = tried.distinct()
-        if tested is not None:
-            tried = tried.join(tested, ["a", "b"], "left_anti")
-        tried = keep(tried, "tried")
-        tested = tried if tested is None else tested.union(tried)
-        found = keep(run.linked(tried, sets), "edges")
+    low = 0
+    for count in (*PIVOTS, None):
+        if count is not None:  # the pivots of a round are the sets at the next places of their group
+            high = low + count
+            pivots = F.collect_list(F.when((F.col("place") >= low) & (F.col("place") < high), F.struct("node", "label", "place"))).over(of_sig)
+            mine = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & (p["place"] < F.col("place")))
+            tried = apart.withColumn("pivots", pivots).select("node", F.explode(F.transform(mine, lambda p: p["node"])).alias("pivot"))
+            tried = tried.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+            likely = keep(run.likely(tried, sets), "likely")
+            low = high
+        else:
+            likely = keep(run.rest(apart, sets), "likely", release=True)
+        found = keep(run.linked(likely, sets), "edges", release=True)
         edges = found if edges is None else edges.union(found)
-        if step == PIVOT_ROUNDS or found.limit(1).count():
+        if found.limit(1).count():
             labels = components(edges)
-        if step < PIVOT_ROUNDS:
+        if count is not None:
+            # groups that are one component, or that have only sets left that were pivots, are done
             rest = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else apart
-            rest = rest.withColumn("least", F.min("label").over(of_sig)).withColumn("most", F.max("label").over(of_sig))
-            apart = keep(rest.where("least != most").select("sig", "node", "label"), "apart")
+            untried = F.when(F.col("place") >= low, F.col("label"))
+            rest = rest.withColumn("least", F.min(untried).over(of_sig)).withColumn("most", F.max(untried).over(of_sig))
+            apart = keep(rest.where("least != most").select("sig", "node", "place", "size", "label"), "apart")
             if apart.limit(1).count() == 0:
                 break
     if labels is None:
