@@ -31,7 +31,7 @@ from .words import WHITE, Words, mixed, shingles
 
 _U = np.uint64
 #: Pivots of each round, against which a signature's sets are tried before all that are still apart are.
-PIVOTS = (1, 4, 12)
+PIVOTS = (1, 5, 14)
 #: Sets of a group that one task compares with each other.
 BLOCK = 2000
 #: Buckets of a set's sketch: shingles counted by hash.
@@ -252,16 +252,17 @@ class Join:
                         yield min(node[k], node[k + 1 + m]), max(node[k], node[k + 1 + m])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            held = None
+            held, told = None, set()
             for df in batches:
                 df = df if held is None else pd.concat([held, df], ignore_index=True)
                 key = df[["sig", "i", "j"]].to_numpy(np.int64)
                 starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
                 held = df.iloc[starts[-1] :]  # the last group may go on
-                found = {p for a, b in zip(starts[:-1], starts[1:]) for p in compare(df.iloc[a:b])}
+                found = {p for a, b in zip(starts[:-1], starts[1:]) for p in compare(df.iloc[a:b])} - told
+                told = found if len(told) > 1_000_000 else told | found  # once for a task, as far as it remembers
                 yield pd.DataFrame(sorted(found), columns=["a", "b"])
             if held is not None:
-                yield pd.DataFrame(sorted(set(compare(held))), columns=["a", "b"])
+                yield pd.DataFrame(sorted(set(compare(held)) - told), columns=["a", "b"])
 
         return dealt.mapInPandas(run, "a long, b long").distinct()
 
