@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import columns, keep
 
+#: What is to be deleted is broadcast up to so many documents and places of lines, else joined.
+MOST_ROWS, MOST_PLACES = 200_000, 2_000_000
 #: Words of a window.
 WORDS = 25
 
@@ -31,10 +33,16 @@ def _equal_run(one: Column, two: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
+def hashed_lines(rows: DataFrame) -> DataFrame:
+    """(doc_id, body, lines) of each different document of ``rows`` (doc_id, body, text): hash and words of its lines, in order."""
+    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
+    return rows.where("text is not null").select("doc_id", "body", lines.alias("lines")).dropDuplicates(["doc_id", "body"])
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, body, pos, window) of each selected line of ``docs`` (doc_id, body, text); pos counts from 0."""
-    lines = docs.select("doc_id", "body", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    lines = lines.select("doc_id", "body", "pos", F.xxhash64("line").alias("hash"), F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n"))
+    """(doc_id, body, pos, window) of each selected line of ``docs`` (doc_id, body, lines); pos counts from 0."""
+    lines = docs.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
+    lines = lines.select("doc_id", "body", "pos", "line.hash", F.col("line.n").cast("long").alias("n"))
     doc = Window.partitionBy("doc_id", "body")
     upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     lines = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("total", F.sum("n").over(doc))
@@ -47,14 +55,14 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, body, first, last) of the runs of lines of ``docs`` (doc_id, body, text) that occur before."""
+    """(doc_id, body, first, last) of the runs of lines of ``docs`` (doc_id, body, lines) that occur before."""
     prints = keep(fingerprints(docs, words), "prints")
     origin = prints.groupBy("window").agg(F.min(F.struct("doc_id", "body", "pos")).alias("o"), F.count("*").alias("copies"))
     origin = keep(origin.where("copies > 1").select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.pos").alias("at_pos")), "origins")
     same_place = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("body") == F.col("at_body")) & (F.col("pos") == F.col("at_pos"))
     matches = keep(prints.join(origin, "window").where(~same_place).drop("window"), "matches")
 
-    hashed = docs.select("doc_id", "body", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("lines"))
+    hashed = docs.select("doc_id", "body", F.col("lines.hash").alias("lines"))
     mine = hashed.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("lines").alias("mine"))
     theirs = hashed.select(F.col("doc_id").alias("d2"), F.col("body").alias("b2"), F.col("lines").alias("theirs"))
     both = matches.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))).drop("d", "b")
@@ -78,10 +86,13 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     columns other than ``key`` and ``text`` are not read.
     """
     rows = columns(docs, key, text).toDF("doc_id", "text").withColumn("body", F.xxhash64("text", F.length("text")))
-    once = rows.where("text is not null").dropDuplicates(["doc_id", "body"])
-    runs = keep(repeated_runs(once, words), "runs")
+    once = keep(hashed_lines(rows), "lines", release=True)
+    runs = keep(repeated_runs(once, words), "runs", release=True)
     gone = runs.select("doc_id", "body", F.explode(F.sequence("first", "last")).alias("pos")).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
-    gone = keep(gone, "gone").select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "gone")
+    gone = keep(gone, "gone", release=True).select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "gone")
+    size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
+    if size["rows"] <= MOST_ROWS and size["places"] <= MOST_PLACES:
+        gone = F.broadcast(gone)  # then no text is shuffled
     out = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b")), "left")
     lines = _lines(F.col("text"))
     size = F.coalesce(F.size(lines), F.lit(0))
