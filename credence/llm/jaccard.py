@@ -30,7 +30,7 @@ from .common import columns, forget, keep
 from .words import WHITE, Words, mixed, shingles
 
 _U = np.uint64
-#: Pivots of each round, against which a signature's sets are tried before all that are still apart are.
+#: Pivots of each round, one in the first, against which a signature's sets are tried before all that are still apart are.
 PIVOTS = (1, 5, 14)
 #: Sets of a group that one task compares with each other.
 BLOCK = 2000
@@ -225,23 +225,33 @@ class Join:
         sizes = den * F.least("n_a", "n_b") >= num * F.greatest("n_a", "n_b")
         return pairs.join(one, "a").join(two, "b").where(sizes).where((num + den) * apart <= (den - num) * total).select("a", "b")
 
-    def rest(self, apart: DataFrame, sets: DataFrame) -> DataFrame:
+    def within(self, apart: DataFrame, sets: DataFrame, low: int, high: int | None) -> DataFrame:
         """The likely pairs (a, b) among the sets that share a signature and are still apart.
 
+        With ``high``, pairs of the pivots at places ``low`` to ``high`` and sets at later places; without,
+        pairs of the sets from place ``low`` on, as those before have been tried against all as pivots.
+
         Sketches are compared within tasks and only likely pairs leave them.  A group of more than
-        BLOCK sets is dealt out as pairs of blocks, so a task holds two blocks at a time."""
+        BLOCK sets is dealt out in blocks, each with all pivots, or as pairs of blocks, so a task holds
+        two blocks at a time."""
         num, den = self.scheme.num, self.scheme.den
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int")
-        dealt = apart.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        dealt = dealt.select("sig", "node", "label", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        dealt = dealt.join(sets.select("node", "n", "sketch"), "node").repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        dealt = apart.where(F.col("place") >= low).withColumn("blocks", blocks).withColumn("own", own)
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        if high is None:
+            dealt = dealt.withColumn("other", F.explode(every)).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+        else:
+            dealt = dealt.withColumn("i", F.explode(F.when(F.col("place") < high, every).otherwise(F.array("own")))).withColumn("j", F.col("i"))
+        dealt = dealt.select("sig", "node", "label", "place", "own", "i", "j").join(sets.select("node", "n", "sketch"), "node")
+        dealt = dealt.repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j", "place")
 
         def compare(df: pd.DataFrame):
             own, i, j = (df[c].to_numpy() for c in ("own", "i", "j"))
             node, label, n = (df[c].to_numpy(np.int64) for c in ("node", "label", "n"))
             sketch = np.stack(df["sketch"].to_numpy()).astype(np.int16)
-            for k in range(len(df) - 1):
+            firsts = len(df) - 1 if high is None else min(len(df) - 1, int((df["place"] < high).sum()))
+            for k in range(firsts):
                 to = slice(k + 1, None)
                 total, small, large = n[k] + n[to], np.minimum(n[k], n[to]), np.maximum(n[k], n[to])
                 ok = (label[k] != label[to]) & (den * small >= num * large) & ((own[k] != own[to]) | (i[k] == j[k]))
@@ -309,16 +319,15 @@ def ngram_components(docs: DataFrame, size: int = 4, num: int = 85, den: int = 1
     apart = members.withColumn("label", F.col("node"))
     low = 0
     for count in (*PIVOTS, None):
-        if count is not None:  # the pivots of a round are the sets at the next places of their group
-            high = low + count
-            pivots = F.collect_list(F.when((F.col("place") >= low) & (F.col("place") < high), F.struct("node", "label", "place"))).over(of_sig)
-            mine = F.filter("pivots", lambda p: (p["label"] != F.col("label")) & (p["place"] < F.col("place")))
-            tried = apart.withColumn("pivots", pivots).select("node", F.explode(F.transform(mine, lambda p: p["node"])).alias("pivot"))
+        high = None if count is None else low + count
+        if low == 0:  # one pivot for each group: few pairs, and the same ones in many groups
+            pivot = F.min(F.when(F.col("place") == 0, F.col("node"))).over(of_sig)
+            tried = apart.withColumn("pivot", pivot).where("node != pivot")
             tried = tried.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
             likely = keep(run.likely(tried, sets), "likely")
-            low = high
         else:
-            likely = keep(run.rest(apart, sets), "likely", release=True)
+            likely = keep(run.within(apart, sets, low, high), "likely", release=True)
+        low = high
         found = keep(run.linked(likely, sets), "edges", release=True)
         edges = found if edges is None else edges.union(found)
         if found.limit(1).count():
