@@ -64,13 +64,20 @@ def simulate(rows: DataFrame, model: Model, seed: int, sample: str) -> DataFrame
         scale = x.scale
         sc = F.lit(1.0) if scale is None else F.col(f"param${scale}") if isinstance(scale, str) else F.lit(float(scale))
         have = rows.select("dataset_id", F.col(sample).cast("int").alias("sample"), "row_idx", model.predictor(x, _params(model)).alias("eta"), sc.alias("scale"))
+        have = have.repartition("row_idx")  # values cost far more than their rows, and a table may be one split
 
         def run(batches, kind=x.kind, name=x.name):
+            # one stream for each row, so that batches play no part: one generator, set to each row's key
+            bits = np.random.Philox(key=[0, 0])
+            rng, fresh = np.random.Generator(bits), bits.state
             for pdf in batches:
                 parts = []
                 for (d, s), g in pdf.groupby(["dataset_id", "sample"], sort=False):
-                    # one stream for each row, so that batches play no part
-                    values = [_simulate(kind, np.array([e]), c, np.random.Generator(np.random.Philox(key=[(seed << 32) ^ zlib.crc32(f"{name}|{d}".encode()), (int(s) << 40) ^ int(i)])))[0] for e, c, i in zip(g["eta"], g["scale"], g["row_idx"])]
+                    own, values = (seed << 32) ^ zlib.crc32(f"{name}|{d}".encode()), np.empty(len(g))
+                    for at, (e, c, i) in enumerate(zip(g["eta"].to_numpy()[:, None], g["scale"].tolist(), g["row_idx"].tolist())):
+                        fresh["state"]["key"][:] = own, (int(s) << 40) ^ i
+                        bits.state = fresh
+                        values[at] = _simulate(kind, e, c, rng)[0]
                     parts.append(pd.DataFrame({"dataset_id": d, "likelihood": name, "sample": s, "row_idx": g["row_idx"].to_numpy(), "value": values}))
                 yield pd.concat(parts) if parts else pd.DataFrame(columns=["dataset_id", "likelihood", "sample", "row_idx", "value"])
 

@@ -43,32 +43,33 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x)))
 
 
-def _likelihood(kind: str, y, eta, scale):
-    """Log density summed, and its gradients by eta and by the scale."""
+def _likelihood(kind: str, y, eta, scale, weight):
+    """Log density summed over rows of these weights, and its gradients by eta and by the scale."""
     if kind in ("normal", "log_normal"):
         v = np.log(np.maximum(y, 1e-300)) if kind == "log_normal" else y
-        z = (v - eta) / scale
-        base = -0.5 * (z @ z) - len(v) * (math.log(scale) + 0.5 * math.log(2 * math.pi)) - (v.sum() if kind == "log_normal" else 0)
-        return base, z / scale, (z @ z - len(v)) / scale
+        z, n = (v - eta) / scale, weight.sum()
+        squares = (weight * z) @ z
+        base = -0.5 * squares - n * (math.log(scale) + 0.5 * math.log(2 * math.pi)) - (weight @ v if kind == "log_normal" else 0)
+        return base, weight * z / scale, (squares - n) / scale
     if kind == "bernoulli":
-        return float((y * eta - _softplus(eta)).sum()), y - _sigmoid(eta), 0.0
+        return float(weight @ (y * eta - _softplus(eta))), weight * (y - _sigmoid(eta)), 0.0
     mu = np.exp(np.minimum(eta, 700))
     if kind == "poisson":
-        return float((y * eta - mu - _lgamma(y + 1)).sum()), y - mu, 0.0
+        return float(weight @ (y * eta - mu - _lgamma(y + 1))), weight * (y - mu), 0.0
     if kind == "exponential":
-        return float((eta - y * mu).sum()), 1 - y * mu, 0.0
+        return float(weight @ (eta - y * mu)), weight * (1 - y * mu), 0.0
     a = scale
-    both = np.log(a + mu)
+    both = np.logaddexp(math.log(a), eta)  # log(a + mu) wherever mu itself would overflow
     value = _lgamma(y + a) - math.lgamma(a) - _lgamma(y + 1) + a * (math.log(a) - both) + y * (eta - both)
     by_a = digamma(y + a) - digamma(np.array(a)) + math.log(a) + 1 - both - (y + a) / (a + mu)
-    return float(value.sum()), a * (y - mu) / (a + mu), float(by_a.sum())
+    return float(weight @ value), weight * (a * (y - mu) / (a + mu)), float(weight @ by_a)
 
 
 class Target:
-    """Log density and gradient of a model on the raw scale, for one dataset."""
+    """Log density and gradient of a model on the raw scale, for one dataset; ``weight`` tells how often each row occurs (once without it)."""
 
-    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None):
-        self.model, self.rows, self.stats = model, rows, stats
+    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None):
+        self.model, self.rows, self.stats, self.weight = model, rows, stats, weight
 
     def values(self, raw: np.ndarray) -> dict[str, np.ndarray | float]:
         out: dict = {}
@@ -147,7 +148,7 @@ class Target:
                 eta = np.zeros(len(y))
                 for kind, name, column, c in like.terms:
                     eta += c if kind == "const" else x[name] if kind == "param" else x[name] * self.rows[column] if kind == "coef" else self.rows[column] @ x[name]
-                value, by_eta, by_scale = _likelihood(like.kind, y, eta, scale)
+                value, by_eta, by_scale = _likelihood(like.kind, y, eta, scale, np.ones(len(y)) if self.weight is None else self.weight)
                 total += value
                 pull = lambda kind, column: by_eta.sum() if kind == "param" else by_eta @ self.rows[column]  # noqa: B023, E731
             for kind, name, column, _ in like.terms:
@@ -416,8 +417,8 @@ def check_options(chains, draws, warmup, step_size, target_accept, max_tree_dept
 def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=500, seed=42, step_size=0.0, target_accept=0.8, sampler="nuts", max_tree_depth=10, num_leapfrog_steps=15, shared: DataFrame | None = None, what="draws", strict=False) -> DataFrame:
     """Draws (or, with ``what="transitions"``, telemetry) of every dataset of ``data`` and chain.
 
-    Gaussian models aggregate first; other likelihoods send a dataset's rows to each of its chains,
-    and refuse one of more than MOST_VALUES values.
+    Gaussian models aggregate first; other likelihoods send a dataset's different rows, with how often
+    each occurs, to each of its chains, and refuse one of more than MOST_VALUES values.
     """
     check_options(chains, draws, warmup, step_size, target_accept, max_tree_depth, num_leapfrog_steps)
     if sampler not in ("nuts", "hmc"):
@@ -463,13 +464,14 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
 
         return stats.groupBy("dataset_id", "chain").applyInPandas(from_sums, schema)
     width = len(model.required_keys) - len(model.matrix_keys) + sum(model.matrix_keys.values())
+    bound = bound.groupBy("dataset_id", *model.required_keys).agg(F.count("*").alias("rows$n"))
     largest = bound.groupBy("dataset_id").count().agg(F.max("count")).first()[0] or 0
     if largest * width > MOST_VALUES:
-        raise InferenceError(f"a dataset of {largest} rows is too large for one chain; only Gaussian likelihoods are summed first")
+        raise InferenceError(f"a dataset of {largest} different rows is too large for one chain; only Gaussian likelihoods are summed first")
 
     def from_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {k: np.stack(pdf[k].to_numpy()) if k in model.matrix_keys else pdf[k].to_numpy(float) for k in model.required_keys}
-        return emit(pdf["dataset_id"].iloc[0], int(pdf["chain"].iloc[0]), Target(model, rows))
+        return emit(pdf["dataset_id"].iloc[0], int(pdf["chain"].iloc[0]), Target(model, rows, weight=pdf["rows$n"].to_numpy(float)))
 
     return bound.select("*", chain).groupBy("dataset_id", "chain").applyInPandas(from_rows, schema)
 

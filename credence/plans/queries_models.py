@@ -262,7 +262,7 @@ def counts_model(kind: str) -> Model:
 @query()
 def nuts_counts_batch(spark, sf):
     """Poisson and negative-binomial models of lines per order, as one batch of different models."""
-    rows = _counts(spark, sf).where("g = 0").select("x", "y")
+    rows = _counts(spark, sf).select("x", "y")
     return H.sample_many({"poisson": (counts_model("poisson"), rows), "negative_binomial": (counts_model("nb"), rows)}, draws=100, warmup=100).groupBy("model_id", "param").agg(F.avg("value").alias("mean"))
 
 
@@ -296,8 +296,7 @@ def matrix_regression(spark, sf):
 
 @query()
 def posterior_predictive(spark, sf):
-    rows = _lines(spark, sf).where("x > 4.9")
-    return P.posterior_predictive(_fixed_draws(spark), rows, regression_model(), n_samples=4).groupBy("dataset_id", "likelihood", "sample").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
+    return P.posterior_predictive(_fixed_draws(spark), _lines(spark, sf), regression_model(), n_samples=4).groupBy("dataset_id", "likelihood", "sample").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.count("*").alias("n"))
 
 
 @query()
