@@ -265,7 +265,9 @@ def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed
         return out
 
     columns = ", ".join(f"{n} {kind(n)}" for n in model.NAMES)
-    return _chains(series.select("series_id", "t", "y"), chains).groupBy("series_id", "chain").applyInPandas(run, f"series_id string, chain int, draw int, {columns}")
+    # a chain costs far more than its rows, so small ones must not be put into one task
+    dealt = _chains(series.select("series_id", "t", "y"), chains).repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "chain")
+    return dealt.groupBy("series_id", "chain").applyInPandas(run, f"series_id string, chain int, draw int, {columns}")
 
 
 def _steps(fitted: DataFrame, steps: int) -> DataFrame:

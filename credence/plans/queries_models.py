@@ -322,7 +322,7 @@ def export_groups(spark, sf):
 
     where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="credence-")
     path = f"{where.rstrip('/')}/fit-{np.random.default_rng().integers(1 << 60):x}"
-    m, rows = regression_model(), _lines(spark, sf).where("dataset_id = 'R'")
+    m, rows = regression_model(), _lines(spark, sf)
     draws = H.sample(m, rows, chains=2, draws=50, warmup=100)
     told = H.sample(m, rows, chains=2, draws=50, warmup=100, what="transitions")
     out = None
@@ -338,9 +338,9 @@ def export_groups(spark, sf):
 PRIOR = M.InverseGammaPrior(3.0, 0.5)
 
 
-def _recent(spark, sf, n=60):
-    s = daily_revenue(spark, sf).fillna(0.0, ["y"])
-    return W.last_values(s, n).select("series_id", (F.lit(n) - F.col("back")).cast("int").alias("t"), "y")
+def _revenue(spark, sf):
+    """The whole series of daily revenue; days without lines have none."""
+    return daily_revenue(spark, sf).fillna(0.0, ["y"])
 
 
 def _path_summary(paths):
@@ -349,17 +349,17 @@ def _path_summary(paths):
 
 @query()
 def gibbs_local_level(spark, sf):
-    return _path_summary(M.forecast_local_level(M.fit(_recent(spark, sf), M.LocalLevel(PRIOR, PRIOR), chains=2, draws=200, warmup=100), 7))
+    return _path_summary(M.forecast_local_level(M.fit(_revenue(spark, sf), M.LocalLevel(PRIOR, PRIOR), chains=2, draws=200, warmup=100), 7))
 
 
 @query()
 def gibbs_trend(spark, sf):
-    return _path_summary(M.forecast_trend(M.fit(_recent(spark, sf, 30), M.LocalLinearTrend(PRIOR, M.InverseGammaPrior(3.0, 0.01), PRIOR), chains=2, draws=100, warmup=50), 7))
+    return _path_summary(M.forecast_trend(M.fit(_revenue(spark, sf), M.LocalLinearTrend(PRIOR, M.InverseGammaPrior(3.0, 0.01), PRIOR), chains=2, draws=100, warmup=50), 7))
 
 
 @query()
 def gibbs_seasonal(spark, sf):
-    return _path_summary(M.forecast_seasonal(M.fit(_recent(spark, sf, 42), M.SeasonalLocalLevel(7, PRIOR, PRIOR, PRIOR), chains=2, draws=100, warmup=50), 7))
+    return _path_summary(M.forecast_seasonal(M.fit(_revenue(spark, sf), M.SeasonalLocalLevel(7, PRIOR, PRIOR, PRIOR), chains=2, draws=100, warmup=50), 7))
 
 
 @query()
@@ -371,7 +371,7 @@ def gibbs_hierarchy(spark, sf):
 
 @query()
 def hierarchy_forecast_rollup(spark, sf):
-    p = programs(spark, sf).where("group_id in ('NATION_0', 'NATION_1')")
+    p = programs(spark, sf)
     fitted = M.HierarchicalMean(M.InverseGammaPrior(3, 50), M.InverseGammaPrior(3, 50), M.InverseGammaPrior(3, 500), 150.0, 10000.0).fit(p, chains=2, draws=50, warmup=50)
     rolled = S.rollup_paths(M.forecast_hierarchy(fitted, p, 3))
     return rolled.groupBy("group_id", "step").agg(F.avg("observation").alias("mean"), F.percentile("observation", F.lit(0.9)).alias("q90"))

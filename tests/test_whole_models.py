@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 
 from credence.operators import samplers as H
+from credence.operators import structural as M
 from credence.plans import queries_models as Q
-from credence.sources.tables import table
+from credence.sources.tables import daily_revenue, table
 from test_models import every_family
 
 
@@ -37,3 +38,24 @@ def test_negative_binomial_far_out_is_no_refuge():
     y, one = np.array([4.0, 2.0]), np.ones(2)
     at = lambda eta, alpha: H._likelihood("negative_binomial", y, np.full(2, eta), alpha, one)[0]
     assert at(1768.0, 1e-100) < at(700.0, 1e-100) + 1e-6 < at(1.2, 5.0)
+
+
+@pytest.mark.parametrize("name", ["gibbs_local_level", "gibbs_trend", "gibbs_seasonal"])
+def test_series_models_see_whole_series(spark, sf, monkeypatch, name):
+    class SeenError(Exception):
+        pass
+
+    def spy(series, *args, **options):
+        raise SeenError(series.count())
+
+    monkeypatch.setattr(M, "fit", spy)
+    with pytest.raises(SeenError) as e:
+        Q.QUERIES[name](spark, sf)
+    assert e.value.args == (daily_revenue(spark, sf).count(),)
+
+
+def test_rollup_and_export_take_all_groups(spark, sf):
+    groups = Q.programs(spark, sf).select("group_id").distinct().count()
+    assert groups > 2 and Q.hierarchy_forecast_rollup(spark, sf).select("group_id").distinct().count() == groups + 1
+    got = {r.group: r.rows for r in Q.export_groups(spark, sf).collect()}
+    assert got["observed_data"] == table(spark, sf, "lineitem").count() and got["posterior"] == 3 * 3 * 2 * 50
