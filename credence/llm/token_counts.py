@@ -4,13 +4,15 @@ Offline (once for each vocabulary, on the driver) every vocabulary string is enc
 that are one pre-token and give one token are proven whole.  In the tasks a text is cut into
 pre-tokens: proven ones count 1, and only the rest are merged, each distinct one once for a worker
 (up to a bound).  Cutting costs most, so runs between single spaces are counted as units: a space
-that stands alone always opens a pre-token, so such a run's pre-tokens don't depend on what is
-around it.  Texts with doubled or final spaces or a special string take the plain way.
+with no white space on one side or the other always opens a pre-token, so such a run's pre-tokens
+don't depend on what is around it.  Texts with a space between other white space (a doubled one, or
+one between no-break spaces, tabs or line ends), a final space or a special string take the plain way.
 """
 
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,6 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import columns
 
+#: A space within white space: it may stay in one pre-token with what is before it.
+WITHIN = re.compile(r"\s \s|  ")
 #: Counted runs that a worker remembers before it starts again from the proven strings.
 MEMO = 1_000_000
 
@@ -97,7 +101,7 @@ class Counter:
         for i, text in enumerate(texts):
             if not text:
                 continue
-            if "  " in text or text[-1] == " " or any(s in text for s in self.special):
+            if text[-1] == " " or WITHIN.search(text) or any(s in text for s in self.special):
                 out[i] = self.plain(text)
             else:
                 runs[i] = text.split(" ")

@@ -81,3 +81,12 @@ def test_perfect_index():
     assert (index.find(others) >= 0).mean() < 0.001
     with pytest.raises(ValueError):
         id_files.PerfectIndex.build(np.zeros(2, np.uint64), np.arange(2))
+
+
+def test_mixed_white_space():
+    rng = np.random.default_rng(5)
+    parts = [" ", " ", " ", "\t", "\n", "\r\n", " ", "　", "\x1f", "\x85", "a", "b,", "12", "'s"]
+    nbsp = "  "
+    texts = [*(f"a{nbsp * n} b" for n in (1, 2, 4, 8, 9)), "a\n \n b", "a\t \t b", "a \t b  c", *("".join(rng.choice(parts, 12)) for _ in range(2000))]
+    c, tok = token_counts.Counter(BYTE, token_counts.whole_tokens(BYTE)), Tokenizer.from_file(BYTE)
+    assert c.count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
