@@ -1,11 +1,11 @@
 """Winnowing over line hashes, with DataFrame operations only.
 
-A window is the shortest run of lines from a place on that holds ``words`` words.  Each window's
-least line hash selects a fingerprint, so equal windows select the same lines.  A fingerprint is
-known by the window that starts at it; it matches the first place in the corpus where the same
-window starts at a fingerprint.  Matches are extended both ways as long as lines are equal, and the
-later run goes.  A repeated run of at least ``2 * words`` words is sure to hold a matching fingerprint:
-its first window selects one, and the window that starts there still lies inside the run.
+A window is the shortest run of lines from a place on, or up to a place, that holds ``words`` words.
+Each window of a document is matched with the first place in the corpus where the same lines stand,
+and goes if that is another place.  Every repeated run of at least ``words`` words goes whole,
+whatever its earlier copies are followed by: each of its lines lies in a window within the run, as
+one that starts at the run's first line or one that ends at the line.  No window is left out by its
+hash, so nothing has to be extended.
 """
 
 from __future__ import annotations
@@ -26,53 +26,36 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
 
-def _equal_run(one: Column, two: Column) -> Column:
-    """Of how many elements two arrays agree from their start on."""
-    same = F.zip_with(one, two, lambda a, b: F.coalesce(a == b, F.lit(False)))
-    first = F.array_position(same, F.lit(False))
-    return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
-
-
 def hashed_lines(rows: DataFrame) -> DataFrame:
     """(doc_id, body, lines) of each different document of ``rows`` (doc_id, body, text): hash and words of its lines, in order."""
     lines = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
     return rows.where("text is not null").select("doc_id", "body", lines.alias("lines")).dropDuplicates(["doc_id", "body"])
 
 
-def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, body, pos, window) of each selected line of ``docs`` (doc_id, body, lines); pos counts from 0."""
+def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """(doc_id, body, first, last, window) of each different window of ``docs`` (doc_id, body, lines); places count from 0."""
     lines = docs.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
     lines = lines.select("doc_id", "body", "pos", "line.hash", F.col("line.n").cast("long").alias("n"))
     doc = Window.partitionBy("doc_id", "body")
-    upto = doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("before", F.sum("n").over(upto) - F.col("n")).withColumn("total", F.sum("n").over(doc))
+    lines = lines.withColumn("upto", F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    lines = lines.withColumn("before", F.col("upto") - F.col("n")).withColumn("total", F.sum("n").over(doc))
     # every line holds a word, so these are the lines of the shortest run with that many words
-    window = doc.orderBy("before").rangeBetween(0, words - 1)
-    lines = lines.withColumn("least", F.min(F.struct("hash", "pos")).over(window)).withColumn("window", F.xxhash64(F.collect_list("hash").over(window)))
-    lines = lines.withColumn("whole", F.col("total") - F.col("before") >= words)
-    chosen = F.array_contains(F.collect_set(F.when(F.col("whole"), F.col("least.pos"))).over(doc.orderBy("pos").rowsBetween(1 - words, 0)), F.col("pos"))
-    return lines.withColumn("chosen", chosen).where("chosen and whole").select("doc_id", "body", "pos", "window")
+    lines = lines.withColumn("on", F.collect_list("hash").over(doc.orderBy("before").rangeBetween(0, words - 1)))
+    lines = lines.withColumn("back", F.collect_list("hash").over(doc.orderBy("upto").rangeBetween(1 - words, 0)))
+    place = lambda run, first: F.struct(first.cast("int").alias("first"), (first + F.size(run) - 1).cast("int").alias("last"), F.xxhash64(run).alias("window"))
+    on = F.when(F.col("total") - F.col("before") >= words, place("on", F.col("pos")))
+    back = F.when(F.col("upto") >= words, place("back", F.col("pos") - F.size("back") + 1))
+    found = lines.select("doc_id", "body", F.explode(F.array_compact(F.array_distinct(F.array(on, back)))).alias("x"))
+    return found.select("doc_id", "body", "x.*")
 
 
 def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, body, first, last) of the runs of lines of ``docs`` (doc_id, body, lines) that occur before."""
-    prints = keep(fingerprints(docs, words), "prints")
-    origin = prints.groupBy("window").agg(F.min(F.struct("doc_id", "body", "pos")).alias("o"), F.count("*").alias("copies"))
-    origin = keep(origin.where("copies > 1").select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.pos").alias("at_pos")), "origins")
-    same_place = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("body") == F.col("at_body")) & (F.col("pos") == F.col("at_pos"))
-    matches = keep(prints.join(origin, "window").where(~same_place).drop("window"), "matches")
-
-    hashed = docs.select("doc_id", "body", F.col("lines.hash").alias("lines"))
-    mine = hashed.select(F.col("doc_id").alias("d"), F.col("body").alias("b"), F.col("lines").alias("mine"))
-    theirs = hashed.select(F.col("doc_id").alias("d2"), F.col("body").alias("b2"), F.col("lines").alias("theirs"))
-    both = matches.join(mine, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("body") == F.col("b"))).drop("d", "b")
-    both = both.join(theirs, F.col("at_doc").eqNullSafe(F.col("d2")) & (F.col("at_body") == F.col("b2"))).drop("d2", "b2")
-    after = lambda lines, pos: F.slice(lines, pos + 1, F.least(F.size("mine") - F.col("pos"), F.size("theirs") - F.col("at_pos")))
-    near = F.least("pos", "at_pos")
-    until = lambda lines, pos: F.reverse(F.slice(lines, pos - near + 1, near))
-    on = _equal_run(after(F.col("mine"), F.col("pos")), after(F.col("theirs"), F.col("at_pos")))
-    back = _equal_run(until(F.col("mine"), F.col("pos")), until(F.col("theirs"), F.col("at_pos")))
-    return both.select("doc_id", "body", (F.col("pos") - back).alias("first"), (F.col("pos") + on - 1).alias("last")).distinct()
+    all_windows = keep(windows(docs, words), "windows", release=True)
+    origin = all_windows.groupBy("window").agg(F.min(F.struct("doc_id", "body", "first")).alias("o"), F.max(F.struct("doc_id", "body", "first")).alias("end"))
+    origin = keep(origin.where(~F.col("o").eqNullSafe(F.col("end"))).select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.first").alias("at")), "origins", release=True)
+    same_place = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("body") == F.col("at_body")) & (F.col("first") == F.col("at"))
+    return all_windows.join(origin, "window").where(~same_place).select("doc_id", "body", "first", "last")
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -51,3 +51,27 @@ def test_every_deleted_line_has_an_earlier_copy(spark):
 def test_short_repeats_stay(spark):
     df = spark.createDataFrame([(1, "a short line\nfirst"), (2, "a short line\nsecond")], "doc_id long, text string")
     assert all(r.n_removed == 0 for r in line_dedup.dedup_lines(df).collect())
+
+
+def test_other_copies_of_a_head_or_an_end(spark):
+    """Brute force: every line of a run of 25 words or more that occurs before goes, whichever copy it continues."""
+    rng = random.Random(3)
+    line = lambda n: " ".join(f"w{rng.random()}" for _ in range(n))
+    head, tail, middle = [line(40)], [line(40)], [line(9), line(8), line(7)]
+    docs = {
+        1: [*head, line(30)], 2: [line(30), *head, *middle, line(30)], 3: [line(30), *head, *middle, line(30)],
+        4: [line(30), *tail], 5: [line(30), *middle, *tail, line(30)], 6: [line(30), line(9), *middle, *tail, line(3)],
+    }
+    pool = [line(k) for k in (3, 9, 12, 20, 26)]
+    docs |= {d: [rng.choice(pool) for _ in range(rng.randrange(1, 12))] for d in range(7, 25)}
+    places = [(d, i, j) for d, x in docs.items() for i in range(len(x)) for j in range(i + 1, len(x) + 1) if sum(len(y.split()) for y in x[i:j]) >= 25]
+    first = {}
+    for d, i, j in places:
+        first.setdefault(tuple(docs[d][i:j]), (d, i))
+    gone = {(d, k) for d, i, j in places if first[tuple(docs[d][i:j])] != (d, i) for k in range(i, j)}
+    assert {(3, 1), (3, 2), (3, 3), (3, 4), (6, 2), (6, 5)} <= gone
+    df = spark.createDataFrame([(d, "\n".join(x)) for d, x in docs.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    for d, x in docs.items():
+        kept = [y for k, y in enumerate(x) if (d, k) not in gone]
+        assert out[d].n_removed == len(x) - len(kept) and out[d].clean_text.split("\n") == (kept or [""])
