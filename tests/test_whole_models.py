@@ -59,3 +59,11 @@ def test_rollup_and_export_take_all_groups(spark, sf):
     assert groups > 2 and Q.hierarchy_forecast_rollup(spark, sf).select("group_id").distinct().count() == groups + 1
     got = {r.group: r.rows for r in Q.export_groups(spark, sf).collect()}
     assert got["observed_data"] == table(spark, sf, "lineitem").count() and got["posterior"] == 3 * 3 * 2 * 50
+
+
+def test_equal_rows_do_not_count_against_the_limit(spark, monkeypatch):
+    rows = spark.range(4000).selectExpr("double(id % 5) as x", "double((id div 5) % 2) as y")
+    monkeypatch.setattr(H, "MOST_VALUES", 20)  # ten different rows of two columns
+    assert H.sample(Q.logistic_model(), rows, chains=1, draws=5, warmup=5).count() == 10
+    with pytest.raises(Q.H.InferenceError, match="different rows"):
+        H.sample(Q.logistic_model(), rows.selectExpr("x + rand() as x", "y"), chains=1, draws=5, warmup=5)
