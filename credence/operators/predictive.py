@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.special import bernoulli, exponential, normal, sigmoid, split_mix
 from ..plans.model import InferenceError, Model
 from .summary import draw_subsample
 
@@ -42,56 +43,60 @@ def pointwise_log_likelihood(draws: DataFrame, bound: DataFrame, model: Model) -
     return rows.select("dataset_id", "chain", "draw", "row_idx", F.explode(F.array(*one)).alias("x")).select("dataset_id", "x.likelihood", "chain", "draw", "row_idx", "x.value")
 
 
-def _simulate(kind: str, eta: np.ndarray, scale, rng: np.random.Generator) -> np.ndarray:
-    if kind == "normal":
-        return rng.normal(eta, scale)
-    if kind == "log_normal":
-        return np.exp(rng.normal(eta, scale))
-    if kind == "bernoulli":
-        return (rng.random(len(eta)) < 1 / (1 + np.exp(-eta))).astype(float)
-    mu = np.exp(np.minimum(eta, 700))
-    if kind == "exponential":
-        return rng.exponential(1 / mu)
+def _count(kind: str, mu: float, scale: float, rng: np.random.Generator) -> float:
     if kind == "poisson":
-        return rng.poisson(np.minimum(mu, 1e15)).astype(float)
-    return rng.poisson(np.minimum(rng.gamma(scale, mu / scale), 1e15)).astype(float)  # gamma mixture of Poissons
+        return float(rng.poisson(min(mu, 1e15)))
+    return float(rng.poisson(min(rng.gamma(scale, mu / scale), 1e15)))  # gamma mixture of Poissons
 
 
 def simulate(rows: DataFrame, model: Model, seed: int, sample: str) -> DataFrame:
-    """A draw of every likelihood for each row; the seed of a value is its (dataset, sample, row)."""
+    """A draw of every likelihood for each row; the random key of a value is its (dataset, sample, row).
+
+    Counts need a generator each; all else is Columns."""
     out = None
     for x in model.likelihoods:
         scale = x.scale
         sc = F.lit(1.0) if scale is None else F.col(f"param${scale}") if isinstance(scale, str) else F.lit(float(scale))
-        have = rows.select("dataset_id", F.col(sample).cast("int").alias("sample"), "row_idx", model.predictor(x, _params(model)).alias("eta"), sc.alias("scale"))
-        have = have.repartition("row_idx")  # values cost far more than their rows, and a table may be one split
-
-        def run(batches, kind=x.kind, name=x.name):
-            # one stream for each row, so that batches play no part: one generator, set to each row's key
-            bits = np.random.Philox(key=[0, 0])
-            rng, fresh = np.random.Generator(bits), bits.state
-            for pdf in batches:
-                parts = []
-                for (d, s), g in pdf.groupby(["dataset_id", "sample"], sort=False):
-                    own, values = (seed << 32) ^ zlib.crc32(f"{name}|{d}".encode()), np.empty(len(g))
-                    for at, (e, c, i) in enumerate(zip(g["eta"].to_numpy()[:, None], g["scale"].tolist(), g["row_idx"].tolist())):
-                        fresh["state"]["key"][:] = own, (int(s) << 40) ^ i
-                        bits.state = fresh
-                        values[at] = _simulate(kind, e, c, rng)[0]
-                    parts.append(pd.DataFrame({"dataset_id": d, "likelihood": name, "sample": s, "row_idx": g["row_idx"].to_numpy(), "value": values}))
-                yield pd.concat(parts) if parts else pd.DataFrame(columns=["dataset_id", "likelihood", "sample", "row_idx", "value"])
-
-        got = have.mapInPandas(run, "dataset_id string, likelihood string, sample int, row_idx long, value double")
+        have = rows.select("dataset_id", F.lit(x.name).alias("likelihood"), F.col(sample).cast("long").alias("sample"), "row_idx", model.predictor(x, _params(model)).alias("eta"), sc.alias("scale"))
+        key = (F.lit(x.name), "dataset_id", "sample", "row_idx")
+        if x.kind in ("poisson", "negative_binomial"):
+            got = have.repartition("row_idx").mapInPandas(_counts(x.kind, seed), "dataset_id string, likelihood string, sample long, row_idx long, value double")
+        else:
+            eta = F.col("eta")
+            value = {
+                "normal": lambda: eta + F.col("scale") * normal(seed, *key), "log_normal": lambda: F.exp(eta + F.col("scale") * normal(seed, *key)),  # noqa: B023
+                "bernoulli": lambda: bernoulli(seed, sigmoid(eta), *key), "exponential": lambda: exponential(seed, F.exp(eta), *key),  # noqa: B023
+            }[x.kind]()
+            got = have.select("dataset_id", "likelihood", "sample", "row_idx", value.alias("value"))
         out = got if out is None else out.union(got)
     return out
 
 
+def _counts(kind: str, seed: int):
+    def run(batches):
+        bits = np.random.Philox(key=[0, 0])
+        rng, fresh = np.random.Generator(bits), bits.state
+        for pdf in batches:
+            own = {d: zlib.crc32(str(d).encode()) for d in pdf["dataset_id"].unique()}
+            mus, values = np.exp(np.minimum(pdf["eta"].to_numpy(float), 700)).tolist(), []
+            for d, name, s, i, mu, c in zip(pdf["dataset_id"], pdf["likelihood"], pdf["sample"].tolist(), pdf["row_idx"].tolist(), mus, pdf["scale"].tolist()):
+                stream = split_mix(split_mix(seed, s, own[d]), i, zlib.crc32(name.encode()))
+                fresh["state"]["key"][:] = stream, split_mix(stream, i, s & (1 << 64) - 1)
+                bits.state = fresh
+                values.append(_count(kind, mu, c, rng))
+            yield pdf[["dataset_id", "likelihood", "sample", "row_idx"]].assign(value=values)
+
+    return run
+
+
 def posterior_predictive(draws: DataFrame, bound: DataFrame, model: Model, n_samples: int | None = None, seed: int = 42) -> DataFrame:
-    """Simulated responses for ``n_samples`` draws (all without it), taken without replacement and in order."""
+    """Simulated responses for ``n_samples`` draws (all without it), taken without replacement and in order.
+
+    ``sample`` is the chain times 2^32 plus the draw."""
     if n_samples is not None:
         kept = draw_subsample(draws, n_samples, seed)
         draws = draws.join(F.broadcast(kept), ["chain", "draw"])  # n_samples rows
-    params = _over_rows(draws, bound, model).withColumn("sample", F.col("chain") * 1_000_000 + F.col("draw"))
+    params = _over_rows(draws, bound, model).withColumn("sample", F.shiftleft(F.col("chain").cast("long"), 32) + F.col("draw"))
     return simulate(params, model, seed, "sample")
 
 

@@ -1,14 +1,15 @@
-"""NUTS and HMC over compiled models: one group per (dataset, chain), in numpy.
+"""NUTS and HMC over compiled models, in numpy.
 
 For Gaussian likelihoods a chain gets sums instead of rows, so its cost doesn't depend on the number
-of rows.  Seeds come from (seed, dataset, chain) and never from a partition.
+of rows, and a task steps the chains of many datasets together, as arrays.  Random numbers come from
+(seed, dataset, chain, iteration) and never from a partition or from the chains beside one.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,6 +21,8 @@ from ..plans.model import DISCRETE, PRIORS, InferenceError, Model
 #: Values of a dataset (rows times columns) that one chain may hold when the likelihood needs rows.
 MOST_VALUES = 50_000_000
 MOST_ENERGY = 1000.0
+#: Chains that a task steps together, and numbers that their draws or sums may take.
+TOGETHER, MOST_NUMBERS = 256, 4_000_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
@@ -66,16 +69,24 @@ def _likelihood(kind: str, y, eta, scale, weight):
 
 
 class Target:
-    """Log density and gradient of a model on the raw scale, for one dataset; ``weight`` tells how often each row occurs (once without it)."""
+    """Log density and gradient of a model on the raw scale, a row of ``raw`` for each chain.
 
-    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None):
-        self.model, self.rows, self.stats, self.weight = model, rows, stats, weight
+    ``rows`` are of one dataset, and ``weight`` tells how often each occurs (once without it); ``stats``
+    (n and the sums for each likelihood) are of one dataset, or of one for each chain."""
 
-    def values(self, raw: np.ndarray) -> dict[str, np.ndarray | float]:
+    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None):
+        self.model, self.rows, self.weight = model, rows, weight
+        self.stats = stats and [(np.atleast_1d(np.asarray(n, float)), gram if gram.ndim == 3 else gram[None]) for n, gram in stats]
+        self.places = []
+        for like in model.likelihoods if stats else []:
+            at = {c: k for k, c in enumerate(model.design(like))}
+            self.places.append([0 if kind in ("const", "param") else at[column, None, None] if kind == "coef" else [at[column, None, k] for k in range(model.matrix_keys[column])] for kind, _, column, _ in like.terms])
+
+    def values(self, raw: np.ndarray) -> dict[str, np.ndarray]:
         out: dict = {}
         for p in self.model.priors:
             a, b = self.model.spans[p.name]
-            z = raw[a:b] if p.size else raw[a]
+            z = raw[..., a:b] if p.size else raw[..., a]
             if p.centred_by:
                 mu, sigma = (out[x] if isinstance(x, str) else x for x in p.args)
                 out[p.name] = mu + sigma * z
@@ -118,81 +129,121 @@ class Target:
         norm = math.lgamma(a[0] + a[1]) - math.lgamma(a[0]) - math.lgamma(a[1])
         return norm - a[0] * _softplus(-z) - a[1] * _softplus(z), a[0] - (a[0] + a[1]) * s
 
-    def __call__(self, raw: np.ndarray) -> tuple[float, np.ndarray]:
-        m, x = self.model, self.values(raw)
-        total, by_value = 0.0, {p.name: np.zeros(p.size) if p.size else 0.0 for p in m.priors}
+    def _from_sums(self, i: int, like, x: dict, scale: np.ndarray, at: np.ndarray | slice):
+        n, gram = self.stats[i]
+        n, gram = (n[at], gram[at]) if len(n) > 1 else (n, gram)
+        coef = np.zeros((len(scale), gram.shape[-1] - 1))
+        for (kind, name, _, c), k in zip(like.terms, self.places[i]):
+            coef[:, k] += c if kind == "const" else x[name]
+        v = np.concatenate([-coef, np.ones((len(coef), 1))], 1)
+        moved = np.matmul(gram, v[:, :, None])[:, :, 0]
+        rss = np.maximum((v * moved).sum(1), 0.0)
+        value = -0.5 * rss / scale**2 - n * (np.log(scale) + 0.5 * math.log(2 * math.pi))
+        by_coef = moved[:, :-1] / scale[:, None] ** 2
+        return value, [by_coef[:, k] for k in self.places[i]], rss / scale**3 - n / scale
+
+    def _from_rows(self, like, x: dict, scale: np.ndarray | None, chains: int):
+        y = self.rows[like.key]
+        weight = np.ones(len(y)) if self.weight is None else self.weight
+        each = []
+        for b in range(chains):
+            eta = np.zeros(len(y))
+            for kind, name, column, c in like.terms:
+                eta += c if kind == "const" else x[name][b] if kind == "param" else self.rows[column] @ x[name][b] if kind == "matvec" else self.rows[column] * x[name][b]
+            value, by_eta, by_scale = _likelihood(like.kind, y, eta, None if scale is None else scale[b], weight)
+            each.append((value, [0.0 if kind == "const" else by_eta.sum() if kind == "param" else by_eta @ self.rows[column] for kind, _, column, _ in like.terms], by_scale))
+        return np.array([v for v, _, _ in each]), [np.array(g) for g in zip(*[g for _, g, _ in each])], np.array([s for _, _, s in each])
+
+    def __call__(self, raw: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple:
+        """Density and gradient of the chains ``at`` (all), of which ``raw`` has the rows; one row alone gives a number."""
+        if raw.ndim == 1:
+            value, grad = self(raw[None])
+            return float(value[0]), grad[0]
+        m, x, chains = self.model, self.values(raw), len(raw)
+        total, bad = np.zeros(chains), np.zeros(chains, bool)
+        by_value = {p.name: np.zeros((chains, p.size) if p.size else chains) for p in m.priors}
         for i, like in enumerate(m.likelihoods):
-            scale = x[like.scale] if isinstance(like.scale, str) else like.scale
-            if scale is not None and not (scale > 0 and math.isfinite(scale)):
-                return -math.inf, np.zeros_like(raw)
-            if self.stats is not None:
-                n, gram = self.stats[i]
-                design = m.design(like)
-                at = {c: k for k, c in enumerate(design)}
-                coef = np.zeros(len(design))
-                for kind, name, column, c in like.terms:
-                    if kind in ("const", "param"):
-                        coef[0] += c if kind == "const" else x[name]
-                    elif kind == "coef":
-                        coef[at[column, None, None]] += x[name]
-                    else:
-                        coef[[at[column, None, k] for k in range(m.matrix_keys[column])]] += x[name]
-                v = np.append(-coef, 1.0)
-                moved = gram @ v
-                rss = max(float(v @ moved), 0.0)
-                total += -0.5 * rss / scale**2 - n * (math.log(scale) + 0.5 * math.log(2 * math.pi))
-                by_coef, by_scale = moved[:-1] / scale**2, rss / scale**3 - n / scale
-                pull = lambda kind, column: by_coef[0] if kind == "param" else by_coef[at[column, None, None]] if kind == "coef" else by_coef[[at[column, None, k] for k in range(m.matrix_keys[column])]]  # noqa: B023, E731
-            else:
-                y = self.rows[like.key]
-                eta = np.zeros(len(y))
-                for kind, name, column, c in like.terms:
-                    eta += c if kind == "const" else x[name] if kind == "param" else x[name] * self.rows[column] if kind == "coef" else self.rows[column] @ x[name]
-                value, by_eta, by_scale = _likelihood(like.kind, y, eta, scale, np.ones(len(y)) if self.weight is None else self.weight)
-                total += value
-                pull = lambda kind, column: by_eta.sum() if kind == "param" else by_eta @ self.rows[column]  # noqa: B023, E731
-            for kind, name, column, _ in like.terms:
+            scale = x[like.scale] if isinstance(like.scale, str) else None if like.scale is None else np.full(chains, float(like.scale))
+            if scale is not None:
+                bad |= ~((scale > 0) & np.isfinite(scale))
+                scale = np.where(bad, 1.0, scale)
+            value, pulls, by_scale = self._from_rows(like, x, scale, chains) if self.stats is None else self._from_sums(i, like, x, scale, at)
+            total += value
+            for (kind, name, _, _), pull in zip(like.terms, pulls):
                 if kind != "const":
-                    by_value[name] = by_value[name] + pull(kind, column)
+                    by_value[name] = by_value[name] + pull
             if isinstance(like.scale, str):
-                by_value[like.scale] += by_scale
+                by_value[like.scale] = by_value[like.scale] + by_scale
         grad = np.zeros_like(raw)
         for p in reversed(m.priors):
             a, b = m.spans[p.name]
-            z = raw[a:b] if p.size else raw[a]
+            z = raw[:, a:b] if p.size else raw[:, a]
             value, by_raw = self._prior(p, z, x[p.name])
-            total += float(np.sum(value))
+            total += value.sum(1) if p.size else value
             g = by_value[p.name]
             if p.centred_by:
                 mu, sigma = p.args
                 if isinstance(mu, str):
-                    by_value[mu] += g
+                    by_value[mu] = by_value[mu] + g
                 if isinstance(sigma, str):
-                    by_value[sigma] += g * z
+                    by_value[sigma] = by_value[sigma] + g * z
                 step = x[sigma] if isinstance(sigma, str) else sigma
             else:
                 kind = PRIORS[p.kind][0]
                 s = _sigmoid(z)
                 step = 1.0 if kind == "identity" else x[p.name] if kind == "exp" else s * (1 - s) * (p.args[1] - p.args[0] if kind == "bounded" else 1.0)
-            grad[a:b] = by_raw + g * step
-        return (total, grad) if math.isfinite(total) and np.isfinite(grad).all() else (-math.inf, grad)
+            grad[:, a:b] = (by_raw + g * step).reshape(chains, -1)
+        bad |= ~(np.isfinite(total) & np.isfinite(grad).all(1))
+        return np.where(bad, -math.inf, total), grad
+
+
+# --- random numbers -------------------------------------------------------------------------------------
+
+_U = np.uint64
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64."""
+    z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
+    return z ^ (z >> _U(31))
+
+
+class Streams:
+    """Random numbers by (chain's key, iteration, place), the same whichever chains run together."""
+
+    #: First places of leaves and of doublings; a momentum's come before.
+    LEAF, LEVEL = 1 << 32, 1 << 40
+
+    def __init__(self, seeds: list[tuple[int, int]]):
+        numbers = np.array([[a & 0xFFFFFFFFFFFFFFFF, b] for a, b in seeds], _U)
+        self.keys = _mixed(_mixed(numbers[:, 0] + _U(0x9E3779B97F4A7C15)) + numbers[:, 1])
+
+    def uniform(self, iteration: int, place: int, n: int = 1, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        z = _mixed(self.keys[at] + np.array([iteration + 1], _U) * _U(0xD1B54A32D192ED03))[:, None]
+        z = _mixed(z + np.arange(place + 1, place + n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+        return ((z >> _U(11)).astype(float) + 0.5) * 2.0**-53
+
+    def normal(self, iteration: int, n: int) -> np.ndarray:
+        u = self.uniform(iteration, 0, 2 * n)
+        return np.sqrt(-2 * np.log(u[:, :n])) * np.cos(2 * math.pi * u[:, n:])
 
 
 # --- adaptation -----------------------------------------------------------------------------------------
 
 
-@dataclass
 class DualAveraging:
-    step: float
-    target: float
+    """Step sizes that bring each chain's acceptance to ``target``."""
 
-    def __post_init__(self):
-        self.restart(self.step)
+    def __init__(self, step: np.ndarray, target: float):
+        self.target = target
+        self.restart(step)
 
-    def restart(self, step: float) -> None:
-        self.mu, self.t, self.h, self.log_bar, self.log_step = math.log(10 * step), 0, 0.0, 0.0, math.log(step)
+    def restart(self, step: np.ndarray) -> None:
+        self.mu, self.t, self.log_step = np.log(10 * step), 0, np.log(step)
+        self.h, self.log_bar = np.zeros(len(step)), np.zeros(len(step))
 
-    def update(self, accept: float) -> None:
+    def update(self, accept: np.ndarray) -> None:
         self.t += 1
         share = 1 / (self.t + 10)
         self.h = (1 - share) * self.h + share * (self.target - accept)
@@ -202,26 +253,25 @@ class DualAveraging:
 
 
 class Metric:
-    """Inverse mass: dense for few parameters, else diagonal, from draws in the adaptation windows."""
+    """Each chain's inverse mass: dense for few parameters, else diagonal, from draws in the adaptation windows."""
 
     DENSE = 512
 
-    def __init__(self, n: int):
+    def __init__(self, chains: int, n: int):
         self.n, self.dense = n, n <= self.DENSE
-        self.inverse = np.eye(n) if self.dense else np.ones(n)
-        self.root = np.eye(n) if self.dense else np.ones(n)
+        self.inverse = np.tile(np.eye(n), (chains, 1, 1)) if self.dense else np.ones((chains, n))
+        self.root = self.inverse.copy()
         self.clear()
 
     def clear(self) -> None:
-        self.count, self.mean = 0, np.zeros(self.n)
-        self.square = np.zeros((self.n, self.n)) if self.dense else np.zeros(self.n)
+        self.count, self.mean, self.square = 0, np.zeros((len(self.root), self.n)), np.zeros_like(self.root)
 
     def add(self, q: np.ndarray) -> None:
         self.count += 1
         d = q - self.mean
         self.mean = self.mean + d / self.count
         e = q - self.mean
-        self.square = self.square + (np.outer(d, e) if self.dense else d * e)
+        self.square += d[:, :, None] * e[:, None, :] if self.dense else d * e
 
     def update(self) -> None:
         if self.count < 3:
@@ -230,23 +280,21 @@ class Metric:
         var = self.square / (n - 1)
         shrunk, floor = n / (n + 5), 1e-3 * 5 / (n + 5)
         if self.dense:
-            self.inverse = shrunk * (var + var.T) / 2 + floor * np.eye(self.n)
-            low = np.linalg.cholesky(self.inverse + 1e-3 * floor * np.eye(self.n))
-            self.root = np.linalg.inv(low).T
+            self.inverse = shrunk * (var + var.transpose(0, 2, 1)) / 2 + 1.001 * floor * np.eye(self.n)
+            self.root = np.linalg.inv(np.linalg.cholesky(self.inverse)).transpose(0, 2, 1)  # of the very matrix that energies use
         else:
             self.inverse = shrunk * var + floor
             self.root = 1 / np.sqrt(self.inverse)
         self.clear()
 
-    def momentum(self, rng: np.random.Generator) -> np.ndarray:
-        z = rng.standard_normal(self.n)
-        return self.root @ z if self.dense else self.root * z
+    def momentum(self, z: np.ndarray) -> np.ndarray:
+        return np.matmul(self.root, z[:, :, None])[:, :, 0] if self.dense else self.root * z
 
-    def velocity(self, p: np.ndarray) -> np.ndarray:
-        return self.inverse @ p if self.dense else self.inverse * p
+    def velocity(self, p: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return np.matmul(self.inverse[at], p[:, :, None])[:, :, 0] if self.dense else self.inverse[at] * p
 
-    def energy(self, p: np.ndarray) -> float:
-        return 0.5 * float(p @ self.velocity(p))
+    def energy(self, p: np.ndarray, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        return 0.5 * (p * self.velocity(p, at)).sum(1)
 
 
 def windows(warmup: int) -> tuple[int, set[int]]:
@@ -262,140 +310,159 @@ def windows(warmup: int) -> tuple[int, set[int]]:
     return first, ends
 
 
-def leapfrog(target, metric: Metric, q, p, g, step: float):
-    p = p + 0.5 * step * g
-    q = q + step * metric.velocity(p)
-    value, g = target(q)
-    return q, p + 0.5 * step * g, value, g
-
-
-def first_step(target, metric: Metric, q, value, g, rng) -> float:
-    """Doubled or halved from 1 until a step's acceptance crosses one half."""
-    step, direction = 1.0, 0
-    for _ in range(50):
-        p = metric.momentum(rng)
-        _, p2, v2, _ = leapfrog(target, metric, q, p, g, step)
-        change = (v2 - metric.energy(p2)) - (value - metric.energy(p))
-        up = math.isfinite(change) and change > math.log(0.5)
-        if direction == 0:
-            direction = 1 if up else -1
-        elif up != (direction > 0):
+def leapfrog(target, metric: Metric, q, p, g, step: np.ndarray, at: np.ndarray | slice = slice(None)):
+    half = 0.5 * step[:, None]
+    p = p + half * g
+    q = q + step[:, None] * metric.velocity(p, at)
+    value, g = target(q, at)
+    return q, p + half * g, value, g
+
+
+def first_step(target, metric: Metric, q, value, g, streams: Streams, iteration: int) -> np.ndarray:
+    """Doubled or halved from 1 until a step's acceptance crosses one half, for each chain."""
+    step, direction, open_ = np.ones(len(q)), np.zeros(len(q), int), np.arange(len(q))
+    for k in range(50):
+        p = metric.momentum(streams.normal((iteration + 1 << 32) + k, metric.n))[open_]
+        _, p2, v2, _ = leapfrog(target, metric, q[open_], p, g[open_], step[open_], open_)
+        change = (v2 - metric.energy(p2, open_)) - (value[open_] - metric.energy(p, open_))
+        up = np.isfinite(change) & (change > math.log(0.5))
+        crossed = (direction[open_] != 0) & (up != (direction[open_] > 0))
+        direction[open_] = np.where(direction[open_] == 0, np.where(up, 1, -1), direction[open_])
+        open_ = open_[~crossed]
+        if not len(open_):
             break
-        step = min(1e3, max(1e-10, step * 2.0**direction))
+        step[open_] = np.clip(step[open_] * 2.0 ** direction[open_], 1e-10, 1e3)
     return step
 
 
-def _turned(metric: Metric, q0, p0, q1, p1) -> bool:
+def _turned(q0, p0, q1, p1) -> np.ndarray:
     d = q1 - q0
-    return bool(d @ p0 < 0 or d @ p1 < 0)
+    return ((d * p0).sum(1) < 0) | ((d * p1).sum(1) < 0)
 
 
-def nuts_transition(target, metric: Metric, q, value, g, step: float, depth: int, rng) -> tuple:
-    """One transition by doubling a trajectory, its draws chosen by weight, until an end turns back."""
-    p = metric.momentum(rng)
-    start = metric.energy(p) - value
-    left = right = (q, p, g)
-    pick, weight, turned, divergent = (q, value, g), 0.0, False, False
-    leaves, accepted, worst, reached = 0, 0.0, 0.0, 0
-
-    def build(edge, sign, level):
-        nonlocal leaves, accepted, worst, divergent
-        if level == 0:
-            q2, p2, v2, g2 = leapfrog(target, metric, *edge, sign * step)
-            change = metric.energy(p2) - v2 - start
-            change = change if math.isfinite(change) else math.inf
-            leaves += 1
-            accepted += min(1.0, math.exp(-max(change, 0.0))) if change < math.inf else 0.0
-            worst = change
-            if change > MOST_ENERGY:
-                divergent = True
-                return None
-            node = (q2, p2, g2)
-            return node, node, (q2, v2, g2), -change
-        a = build(edge, sign, level - 1)
-        if a is None:
-            return None
-        b = build(a[1], sign, level - 1)
-        if b is None:
-            return None
-        total = np.logaddexp(a[3], b[3])
-        chosen = b[2] if math.log(rng.random() + 1e-300) < b[3] - total else a[2]
-        lo, hi = (a[0], b[1]) if sign > 0 else (b[1], a[0])
-        if _turned(metric, lo[0], lo[1], hi[0], hi[1]):
-            return None
-        return a[0], b[1], chosen, total
+def nuts_transition(target, metric: Metric, q, value, g, step: np.ndarray, depth: int, streams: Streams, iteration: int) -> tuple:
+    """One transition of every chain: trajectories double until an end turns back, draws are chosen by weight.
 
+    A doubling's leaves are made one after another; of its even leaves those are held that begin a
+    subtree still open, and an odd leaf is checked against the beginnings of the subtrees it ends.
+    The energy error is that of the chosen point; a doubling that turned adds nothing to the depth."""
+    n = len(q)
+    p = metric.momentum(streams.normal(iteration, metric.n))
+    start = metric.energy(p) - value
+    ends = {sign: [q.copy(), p.copy(), g.copy()] for sign in (-1, 1)}
+    pick, pick_change, weight = [q.copy(), value.copy(), g.copy()], np.zeros(n), np.zeros(n)
+    leaves, accepted, reached = np.zeros(n, int), np.zeros(n), np.zeros(n, int)
+    divergent, moved, active = np.zeros(n, bool), np.zeros(n, bool), np.arange(n)
     for level in range(depth):
-        sign = 1 if rng.random() < 0.5 else -1
-        new = build(right if sign > 0 else left, sign, level)
-        if new is None:
-            break
-        reached = level + 1
-        if math.log(rng.random() + 1e-300) < new[3] - weight:
-            pick = new[2]
-        weight = np.logaddexp(weight, new[3])
-        if sign > 0:
-            right = new[1]
-        else:
-            left = new[1]
-        if _turned(metric, left[0], left[1], right[0], right[1]):
+        if not len(active):
             break
-    return (*pick, accepted / max(1, leaves), worst if math.isfinite(worst) else MOST_ENERGY * 10, divergent, leaves, reached, pick[0] is not q)
-
-
-def hmc_transition(target, metric: Metric, q, value, g, step: float, n: int, rng) -> tuple:
-    p = metric.momentum(rng)
+        forward = streams.uniform(iteration, streams.LEVEL + 2 * level, 1, active)[:, 0] < 0.5
+        sign = np.where(forward, 1.0, -1.0)
+        now = [np.where(forward[:, None], right[active], left[active]) for left, right in zip(ends[-1], ends[1])]
+        new_weight, new_change = np.full(len(active), -math.inf), np.zeros(len(active))
+        new_pick = [x[active] for x in pick]
+        held = [[None, None] for _ in range(level + 1)]
+        alive = np.arange(len(active))  # places in ``active``
+        for leaf in range(1 << level):
+            at = active[alive]
+            q2, p2, v2, g2 = leapfrog(target, metric, *(x[alive] for x in now), sign[alive] * step[at], at)
+            change = metric.energy(p2, at) - v2 - start[at]
+            change = np.where(np.isfinite(change), change, math.inf)
+            leaves[at] += 1
+            accepted[at] += np.exp(-np.maximum(change, 0.0))
+            for x, y in zip(now, (q2, p2, g2)):
+                x[alive] = y
+            wild = change > MOST_ENERGY
+            divergent[at[wild]] = True
+            total = np.logaddexp(new_weight[alive], -change)
+            chosen = ~wild & (np.log(streams.uniform(iteration, streams.LEAF + (1 << level) + leaf, 1, at)[:, 0]) < -change - total)
+            for x, y in zip(new_pick, (q2, v2, g2)):
+                x[alive[chosen]] = y[chosen]
+            new_change[alive[chosen]] = change[chosen]
+            new_weight[alive] = total
+            back = np.zeros(len(alive), bool)
+            top = bin(leaf >> 1).count("1")
+            if leaf % 2 == 0:
+                for k in (0, 1):
+                    if held[top][k] is None:
+                        held[top][k] = np.empty_like(now[0])
+                    held[top][k][alive] = (q2, p2)[k]
+            else:
+                ended = (leaf ^ (leaf + 1)).bit_length() - 1  # how many subtrees end here
+                for k in range(top - ended + 1, top + 1):
+                    first_q, first_p = (x[alive] for x in held[k])
+                    lead = sign[alive, None]
+                    back |= _turned(lead * first_q, first_p, lead * q2, p2)
+            alive = alive[~(wild | back)]
+            if not len(alive):
+                break
+        at = active[alive]
+        better = np.log(streams.uniform(iteration, streams.LEVEL + 2 * level + 1, 1, at)[:, 0]) < new_weight[alive] - weight[at]
+        for x, y in zip(pick, new_pick):
+            x[at[better]] = y[alive[better]]
+        pick_change[at[better]] = new_change[alive[better]]
+        moved[at[better]] = True
+        weight[at] = np.logaddexp(weight[at], new_weight[alive])
+        for way in (-1, 1):
+            to = alive[sign[alive] == way]
+            for x, y in zip(ends[way], now):
+                x[active[to]] = y[to]
+        turned = _turned(ends[-1][0][at], ends[-1][1][at], ends[1][0][at], ends[1][1][at])
+        active = at[~turned]
+        reached[active] = level + 1
+    return (*pick, accepted / np.maximum(1, leaves), pick_change, divergent, leaves, reached, moved)
+
+
+def hmc_transition(target, metric: Metric, q, value, g, step: np.ndarray, n: int, streams: Streams, iteration: int) -> tuple:
+    p = metric.momentum(streams.normal(iteration, metric.n))
     start, state, v = metric.energy(p) - value, (q, p, g), value
     for _ in range(n):
         q2, p2, v, g2 = leapfrog(target, metric, *state, step)
         state = (q2, p2, g2)
     change = metric.energy(state[1]) - v - start
-    change = change if math.isfinite(change) else math.inf
-    accept = min(1.0, math.exp(-max(change, 0.0))) if change < math.inf else 0.0
-    moved = rng.random() < accept
-    out = (state[0], v, state[2]) if moved else (q, value, g)
-    return (*out, accept, change if math.isfinite(change) else MOST_ENERGY * 10, change > MOST_ENERGY, n, None, moved)
+    change = np.where(np.isfinite(change), change, math.inf)
+    accept = np.exp(-np.maximum(change, 0.0))
+    moved = streams.uniform(iteration, streams.LEVEL)[:, 0] < accept
+    out = (np.where(moved[:, None], state[0], q), np.where(moved, v, value), np.where(moved[:, None], state[2], g))
+    return (*out, accept, np.minimum(change, MOST_ENERGY * 10), change > MOST_ENERGY, np.full(len(q), n), None, moved)
 
 
-def run_chain(target: Target, draws: int, warmup: int, seed: tuple, sampler="nuts", step_size=0.0, target_accept=0.8, max_tree_depth=10, num_leapfrog_steps=15):
-    """Raw draws, and a telemetry row for each iteration."""
+def run_chains(target: Target, draws: int, warmup: int, seeds: list[tuple[int, int]], sampler="nuts", step_size=0.0, target_accept=0.8, max_tree_depth=10, num_leapfrog_steps=15):
+    """Raw draws (chain, draw, parameter), and for each iteration the telemetry as arrays over chains."""
     with np.errstate(all="ignore"):  # overflow is a divergence, which is reported
-        return _run_chain(target, draws, warmup, seed, sampler, step_size, target_accept, max_tree_depth, num_leapfrog_steps)
+        return _run_chains(target, draws, warmup, seeds, sampler, step_size, target_accept, max_tree_depth, num_leapfrog_steps)
 
 
-def _run_chain(target, draws, warmup, seed, sampler, step_size, target_accept, max_tree_depth, num_leapfrog_steps):
-    rng = np.random.Generator(np.random.Philox(list(seed)))
-    n = target.model.n_params
-    q = np.zeros(n)
+def _run_chains(target, draws, warmup, seeds, sampler, step_size, target_accept, max_tree_depth, num_leapfrog_steps):
+    streams, chains, n = Streams(seeds), len(seeds), target.model.n_params
+    q = np.zeros((chains, n))
     value, g = target(q)
-    if not math.isfinite(value):
+    if not np.isfinite(value).all():
         raise InferenceError("the log density and its gradient must be finite where all raw parameters are 0")
-    metric = Metric(n)
-    step = step_size or first_step(target, metric, q, value, g, rng)
+    metric = Metric(chains, n)
+    step = np.full(chains, float(step_size)) if step_size else first_step(target, metric, q, value, g, streams, 0)
     tuning = DualAveraging(step, target_accept)
     first, ends = windows(warmup)
-    kept, told = np.empty((draws, n)), []
+    kept, told = np.empty((chains, draws, n)), []
     for i in range(warmup + draws):
-        if sampler == "nuts":
-            q, value, g, accept, change, divergent, leaves, reached, moved = nuts_transition(target, metric, q, value, g, step, max_tree_depth, rng)
-        else:
-            q, value, g, accept, change, divergent, leaves, reached, moved = hmc_transition(target, metric, q, value, g, step, num_leapfrog_steps, rng)
-        told.append((i, i < warmup, bool(moved), accept, float(change), bool(divergent), step, leaves, reached))
+        go, size = (nuts_transition, max_tree_depth) if sampler == "nuts" else (hmc_transition, num_leapfrog_steps)
+        q, value, g, accept, change, divergent, leaves, reached, moved = go(target, metric, q, value, g, step, size, streams, i)
+        told.append((moved, accept, change, divergent, step, leaves, reached))
         if i >= warmup:
-            kept[i - warmup] = q
+            kept[:, i - warmup] = q
             continue
         if not step_size:
             tuning.update(accept)
-            step = math.exp(tuning.log_step)
+            step = np.exp(tuning.log_step)
         if i >= first:
             metric.add(q)
         if i in ends:
             metric.update()
             if not step_size:
-                step = first_step(target, metric, q, value, g, rng)
+                step = first_step(target, metric, q, value, g, streams, i + 1)
                 tuning.restart(step)
         if i == warmup - 1 and not step_size and tuning.t:
-            step = math.exp(tuning.log_bar)
+            step = np.exp(tuning.log_bar)
     return kept, told
 
 
@@ -428,18 +495,21 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
     names = [(p.name, k) for p in model.priors for k in ([None] if p.size is None else range(p.size))]
     options = {"sampler": sampler, "step_size": step_size, "target_accept": target_accept, "max_tree_depth": max_tree_depth, "num_leapfrog_steps": num_leapfrog_steps}
 
-    def emit(dataset: str, chain: int, target: Target) -> pd.DataFrame:
-        raw, told = run_chain(target, draws, warmup, (seed + chain, zlib.crc32(dataset.encode())), **options)
+    def emit(datasets: list[str], of_chain: list[int], target: Target) -> pd.DataFrame:
+        raw, told = run_chains(target, draws, warmup, [(seed + c, zlib.crc32(d.encode())) for d, c in zip(datasets, of_chain)], **options)
         if what == "transitions":
-            got = pd.DataFrame(told, columns=["iter", "is_warmup", "accepted", "accept_prob", "energy_error", "divergent", "step_size", "num_leapfrog_steps", "tree_depth"])
-            got.insert(0, "chain", chain)
-            got.insert(0, "dataset_id", dataset)
-            return got
-        values = np.array([np.concatenate([np.atleast_1d(v) for v in target.values(r).values()]) for r in raw])
+            n, it = len(told), np.arange(warmup + draws)
+            moved, accept, change, divergent, step, leaves, reached = ([row[k] for row in told] for k in range(7))
+            flat = lambda x: np.stack(x, 1).ravel()  # noqa: E731  chain by chain
+            return pd.DataFrame({
+                "dataset_id": np.repeat(datasets, n), "chain": np.repeat(of_chain, n), "iter": np.tile(it, len(datasets)), "is_warmup": np.tile(it < warmup, len(datasets)), "accepted": flat(moved), "accept_prob": flat(accept),
+                "energy_error": flat(change), "divergent": flat(divergent), "step_size": flat(step), "num_leapfrog_steps": flat(leaves), "tree_depth": None if reached[0] is None else flat(reached),
+            })
+        values = np.concatenate([v if v.ndim == 3 else v[:, :, None] for v in target.values(raw).values()], 2)
         k = len(names)
         return pd.DataFrame({
-            "dataset_id": dataset, "chain": chain, "draw": np.repeat(np.arange(draws), k), "param": [n if i is None else f"{n}[{i}]" for n, i in names] * draws,
-            "idx": pd.array([i for _, i in names] * draws, dtype="Int32"), "value": values.ravel(),
+            "dataset_id": np.repeat(datasets, draws * k), "chain": np.repeat(of_chain, draws * k), "draw": np.tile(np.repeat(np.arange(draws), k), len(datasets)),
+            "param": [n if i is None else f"{n}[{i}]" for n, i in names] * (draws * len(datasets)), "idx": pd.array([i for _, i in names] * (draws * len(datasets)), dtype="Int32"), "value": values.ravel(),
         })
 
     schema = TRANSITIONS if what == "transitions" else DRAWS
@@ -447,22 +517,28 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
         from pyspark.sql import SparkSession
 
         one = SparkSession.active().range(chains).select(F.lit("0").alias("dataset_id"), F.col("id").cast("int").alias("chain"))
-        return one.groupBy("dataset_id", "chain").applyInPandas(lambda pdf: emit("0", int(pdf["chain"].iloc[0]), Target(model, {})), schema)
+        return one.groupBy("dataset_id", "chain").applyInPandas(lambda pdf: emit(["0"], [int(pdf["chain"].iloc[0])], Target(model, {})), schema)
     bound = model.bind(data, shared, strict)
     chain = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
     if model.gaussian:
         stats = model.gaussian_stats(bound).select("*", chain)
         sizes = [len(model.design(x)) + 1 for x in model.likelihoods]
 
-        def from_sums(pdf: pd.DataFrame) -> pd.DataFrame:
-            r, held = pdf.iloc[0], []
-            for i, k in enumerate(sizes):
-                gram = np.zeros((k, k))
-                gram[np.triu_indices(k)] = r[f"s{i}"]
-                held.append((int(r["n"]), gram + np.triu(gram, 1).T))
-            return emit(r["dataset_id"], int(r["chain"]), Target(model, stats=held))
-
-        return stats.groupBy("dataset_id", "chain").applyInPandas(from_sums, schema)
+        together = max(1, min(TOGETHER, MOST_NUMBERS // max(sum(k * k for k in sizes), (draws if what == "draws" else 1) * max(1, len(names)))))
+
+        def from_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for start in range(0, len(whole), together):
+                    pdf, held = whole.iloc[start : start + together], []
+                    for i, k in enumerate(sizes):
+                        gram = np.zeros((len(pdf), k, k))
+                        upper = np.triu_indices(k)
+                        gram[:, upper[0], upper[1]] = gram[:, upper[1], upper[0]] = np.stack(pdf[f"s{i}"].to_numpy())
+                        held.append((pdf["n"].to_numpy(float), gram))
+                    yield emit(pdf["dataset_id"].tolist(), pdf["chain"].tolist(), Target(model, stats=held))
+
+        tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return stats.repartition(tasks, "dataset_id", "chain").mapInPandas(from_sums, schema)
     width = len(model.required_keys) - len(model.matrix_keys) + sum(model.matrix_keys.values())
     bound = bound.groupBy("dataset_id", *model.required_keys).agg(F.count("*").alias("rows$n"))
     largest = bound.groupBy("dataset_id").count().agg(F.max("count")).first()[0] or 0
@@ -471,7 +547,7 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
 
     def from_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = {k: np.stack(pdf[k].to_numpy()) if k in model.matrix_keys else pdf[k].to_numpy(float) for k in model.required_keys}
-        return emit(pdf["dataset_id"].iloc[0], int(pdf["chain"].iloc[0]), Target(model, rows, weight=pdf["rows$n"].to_numpy(float)))
+        return emit([pdf["dataset_id"].iloc[0]], [int(pdf["chain"].iloc[0])], Target(model, rows, weight=pdf["rows$n"].to_numpy(float)))
 
     return bound.select("*", chain).groupBy("dataset_id", "chain").applyInPandas(from_rows, schema)
 

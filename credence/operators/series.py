@@ -133,13 +133,16 @@ def nig_posterior(sums: DataFrame, k: int, mean: np.ndarray, precision: np.ndarr
 
 
 def ar_posterior(series: DataFrame, order: int, mean=None, precision=None, shape: float = 2.0, scale: float = 1.0) -> DataFrame:
-    """Exact posterior of an autoregression with intercept, by window lags and sums."""
+    """Exact posterior of an autoregression with intercept, by window lags and sums; a null or infinite value is an error."""
     k = order + 1
     mean = np.zeros(k) if mean is None else np.asarray(mean, float)
     precision = np.eye(k) if precision is None else np.asarray(precision, float)
     design = ar_design(series, order)
     sums = gaussian_sums(design, [F.lit(1.0), *[f"y_lag_{j}" for j in range(1, order + 1)]], "y", ["series_id"])
-    return nig_posterior(sums, k, mean, precision, shape, scale)
+    wrong = series.groupBy("series_id").agg(F.count_if(F.col("y").isNull() | F.isnan("y") | (F.abs("y") == float("inf"))).alias("wrong"), F.count("*").alias("all"))
+    refuse = F.raise_error(F.concat(F.lit("an autoregression needs finite values, more than its order: series "), F.coalesce(F.col("series_id").cast("string"), F.lit("null"))))
+    sums = wrong.join(sums, "series_id", "left").withColumn("n", F.when((F.col("wrong") > 0) | (F.col("all") <= order), refuse).otherwise(F.col("n")))
+    return nig_posterior(sums.drop("wrong", "all"), k, mean, precision, shape, scale)
 
 
 def hierarchy_sums(programs: DataFrame) -> DataFrame:

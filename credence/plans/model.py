@@ -148,6 +148,11 @@ class Likelihood:
     key: str
 
 
+#: Likelihoods with a scale, and of each kind of term, whether it has a parameter and a column.
+SCALED = ("normal", "log_normal", "negative_binomial")
+TERMS = {"const": (False, False), "param": (True, False), "coef": (True, True), "matvec": (True, True)}
+
+
 def _number(x, what: str, positive: bool = False) -> float:
     if isinstance(x, bool) or not isinstance(x, (int, float)) or not math.isfinite(x) or positive and x <= 0:
         raise ParameterError(f"{what} must be a {'positive ' if positive else ''}finite number")
@@ -338,13 +343,26 @@ class Model:
         for p in got["priors"]:
             if p["kind"] not in PRIORS or len(p["args"]) != len(PRIORS[p["kind"]][1]):
                 raise InferenceError(f"prior {p['name']!r} is malformed")
-            b._add(p["name"], p["kind"], tuple(p["args"]), p["size"])
+            getattr(b, f"{p['kind']}_prior")(p["name"], *[ParamRef(a, b) if isinstance(a, str) else a for a in p["args"]])
+            if p["size"] is not None:
+                if type(p["size"]) is not int or p["size"] < 1 or b.priors[-1].centred_by or p["kind"] in DISCRETE:
+                    raise InferenceError(f"{p['name']!r} can't be a vector of {p['size']!r}")
+                b.priors[-1] = Prior(p["name"], p["kind"], b.priors[-1].args, p["size"])
+        names = [p.name for p in b.priors]
         for x in got["likelihoods"]:
             if x["kind"] not in LIKELIHOODS:
                 raise InferenceError(f"likelihood kind {x['kind']!r} is unknown")
-            if any(y.name == x["name"] for y in b.likelihoods):
-                raise InferenceError(f"likelihood {x['name']!r} occurs twice")
-            b.likelihoods.append(Likelihood(x["name"], x["kind"], tuple(map(tuple, x["terms"])), x["scale"], x["key"]))
+            if (x["scale"] is None) == (x["kind"] in SCALED):
+                raise InferenceError(f"likelihood {x['name']!r} has {'no' if x['scale'] is None else 'a'} scale")
+            if isinstance(x["scale"], str) and x["scale"] not in names:
+                raise InferenceError(f"{x['scale']!r} is undeclared{suggestion(x['scale'], names)}")
+            terms = tuple(map(tuple, x["terms"]))
+            for t in terms:
+                shape = len(t) == 4 and t[0] in TERMS and (isinstance(t[1], str), isinstance(t[2], str)) == TERMS[t[0]]
+                if not shape or isinstance(t[3], bool) or not isinstance(t[3], (int, float)) or not math.isfinite(t[3]):
+                    raise InferenceError(f"likelihood {x['name']!r} has a malformed term {t!r}")
+            scale = ParamRef(x["scale"], b) if isinstance(x["scale"], str) else x["scale"]
+            b._observe(x["name"], x["kind"], Expr(terms, b), scale, x["key"])
         return b.compile()
 
     # --- DataFrames
