@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+#: The setting by which a query's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,19 +28,19 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str, release: bool = False) -> DataFrame:
+def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the scratch folder and read it again: cuts lineage, survives lost executors.
 
-    ``release`` after a large shuffle: Spark deletes shuffle files when the driver collects what
-    refers to them, which this asks for."""
+    Spark deletes the shuffle files of the write as it ends; nothing reads them any more."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    if release:
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-    return out
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:

@@ -51,9 +51,9 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, body, first, last) of the runs of lines of ``docs`` (doc_id, body, lines) that occur before."""
-    all_windows = keep(windows(docs, words), "windows", release=True)
+    all_windows = keep(windows(docs, words), "windows")
     origin = all_windows.groupBy("window").agg(F.min(F.struct("doc_id", "body", "first")).alias("o"), F.max(F.struct("doc_id", "body", "first")).alias("end"))
-    origin = keep(origin.where(~F.col("o").eqNullSafe(F.col("end"))).select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.first").alias("at")), "origins", release=True)
+    origin = keep(origin.where(~F.col("o").eqNullSafe(F.col("end"))).select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.first").alias("at")), "origins")
     same_place = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("body") == F.col("at_body")) & (F.col("first") == F.col("at"))
     return all_windows.join(origin, "window").where(~same_place).select("doc_id", "body", "first", "last")
 
@@ -69,10 +69,10 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text:
     columns other than ``key`` and ``text`` are not read.
     """
     rows = columns(docs, key, text).toDF("doc_id", "text").withColumn("body", F.xxhash64("text", F.length("text")))
-    once = keep(hashed_lines(rows), "lines", release=True)
-    runs = keep(repeated_runs(once, words), "runs", release=True)
+    once = keep(hashed_lines(rows), "lines")
+    runs = keep(repeated_runs(once, words), "runs")
     gone = runs.select("doc_id", "body", F.explode(F.sequence("first", "last")).alias("pos")).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))
-    gone = keep(gone, "gone", release=True).select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "gone")
+    gone = keep(gone, "gone").select(F.col("doc_id").alias("d"), F.col("body").alias("b"), "gone")
     size = gone.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.size("gone")), F.lit(0)).alias("places")).first()
     if size["rows"] <= MOST_ROWS and size["places"] <= MOST_PLACES:
         gone = F.broadcast(gone)  # then no text is shuffled

@@ -64,6 +64,7 @@ def test_equals_brute_force(spark, size, num, den, seed):
 def test_large_group_near_the_line(spark, monkeypatch):
     """Near copies of one text, most of them too far from each other; compared in small blocks."""
     monkeypatch.setattr(jaccard, "BLOCK", 16)
+    monkeypatch.setattr(jaccard, "WEIGHT", 1500)
     rng = random.Random(5)
     base = [f"b{i}" for i in range(100)]
     texts = {}
