@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.special import inv_normal_cdf
+from ..functions.special import inv_normal_cdf, uniform
 
 BY = ("param",)
 
@@ -183,9 +183,9 @@ def rollup_paths(paths: DataFrame, group: str = "group_id", value: str = "observ
 
 
 def draw_subsample(draws: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """``n`` (chain, draw) pairs without replacement, in order; all where there are fewer."""
+    """``n`` (chain, draw) pairs without replacement, by md5 of seed and pair, in order; all where there are fewer."""
     pairs = draws.select("chain", "draw").distinct()
-    return pairs.orderBy(F.xxhash64(F.lit(seed), "chain", "draw"), "chain", "draw").limit(n).orderBy("chain", "draw")
+    return pairs.orderBy(uniform(seed, "chain", "draw"), "chain", "draw").limit(n).orderBy("chain", "draw")
 
 
 def format_table(diagnosed: DataFrame, digits: int = 3) -> str:

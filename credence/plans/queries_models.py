@@ -142,8 +142,10 @@ def linear_predictor_fused(spark, sf):
 @query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda v, i: v::DOUBLE * (1.0::DOUBLE / i))), 5) AS eta FROM embeddings")
 def matvec_predictor(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
-    beta = F.transform(F.sequence(F.lit(1), F.size("x")), lambda i: F.lit(1.0) / i)
-    eta = F.aggregate(F.zip_with("x", beta, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+    b = ModelBuilder()
+    b.normal_likelihood("y", b.vector_normal_prior("beta", 64) @ "x", 1.0, "y")
+    m = b.compile()
+    eta = m.predictor(m.likelihoods[0], {"beta": F.array(*[F.lit(1.0 / i) for i in range(1, 65)])})
     return e.select("vec_id", F.round(eta, 5).alias("eta"))
 
 
@@ -205,11 +207,11 @@ def gaussian_sufficient_stats(spark, sf):
     return s.select("dataset_id", "n", at(2, "sx"), at(4, "sxx"), at(5, "sxy"), at(6, "syy"))
 
 
-@query()
+@query(f"SELECT (i % 3)::VARCHAR AS dataset_id, (i // 3) / 10.0::DOUBLE AS x, round({O.phi_inv(O.uniform(15, 'i'))}, 6) AS y FROM (SELECT unnest(range(60)) AS i)")
 def shared_inputs_bind(spark, sf):
     shared = spark.range(20).select(F.col("id").alias("row_idx"), (F.col("id") / 10.0).alias("x"))
     own = spark.range(60).select((F.col("id") % 3).cast("string").alias("dataset_id"), F.floor(F.col("id") / 3).alias("row_idx"), normal(15, "id").alias("y"))
-    return regression_model().bind(own, shared)
+    return regression_model().bind(own, shared).select("dataset_id", "x", r("y"))
 
 
 @query()

@@ -222,9 +222,14 @@ def ar1_posterior(spark, sf):
     return p.select("series_id", F.round(F.element_at("coef", 1), 6).alias("intercept"), F.round(F.element_at("coef", 2), 6).alias("slope"), "shape", r("scale", 4))
 
 
-@query()
+@query(f"""{FULL}, a AS (SELECT series_id, y, lag(y) OVER w AS p, lag(y, 2) OVER w AS q, row_number() OVER w AS rn FROM full_series WINDOW w AS (PARTITION BY series_id ORDER BY t)),
+  s AS (SELECT series_id, count(*) AS n, count(*) + 1.0::DOUBLE AS a, sum(p) AS b, sum(q) AS c, sum(p * p) + 1 AS d, sum(p * q) AS e, sum(q * q) + 1 AS f, sum(y) AS u, sum(p * y) AS v, sum(q * y) AS w, sum(y * y) AS yy FROM a WHERE rn > 2 GROUP BY ALL),
+  m AS (SELECT *, a * (d * f - e * e) - b * (b * f - c * e) + c * (b * e - c * d) AS det FROM s),
+  x AS (SELECT *, (u * (d * f - e * e) - b * (v * f - w * e) + c * (v * e - w * d)) / det AS x0, (a * (v * f - w * e) - u * (b * f - c * e) + c * (b * w - c * v)) / det AS x1, (a * (d * w - e * v) - b * (b * w - c * v) + u * (b * e - c * d)) / det AS x2 FROM m)
+  SELECT series_id, round(x0, 6) AS intercept, round(x1, 6) AS lag_1, round(x2, 6) AS lag_2, 2 + n / 2.0::DOUBLE AS shape, round(1 + 0.5 * (yy - x0 * u - x1 * v - x2 * w), 4) AS scale FROM x""")
 def ar2_posterior(spark, sf):
-    return W.ar_posterior(daily_revenue(spark, sf).fillna(0.0, ["y"]), 2)
+    p = W.ar_posterior(daily_revenue(spark, sf).fillna(0.0, ["y"]), 2)
+    return p.select("series_id", *[F.round(F.element_at("coef", k + 1), 6).alias(n) for k, n in enumerate(("intercept", "lag_1", "lag_2"))], "shape", r("scale", 4))
 
 
 @query("""WITH s AS (SELECT l_returnflag AS series_id, count(*) AS n, sum(l_quantity) AS sx, sum(l_quantity * l_quantity) AS sxx, sum(l_extendedprice / 1000) AS sy, sum(l_quantity * (l_extendedprice / 1000)) AS sxy, sum((l_extendedprice / 1000) * (l_extendedprice / 1000)) AS syy FROM lineitem GROUP BY ALL)
@@ -318,9 +323,14 @@ def rolling_origin_select(spark, sf):
     return W.best_candidate(out, ["series_id"], "mae").select("series_id", "candidate", r("score"))
 
 
-@query()
+@query(f"""WITH spec(series_id, train, test, period, level, trend, amplitude, noise) AS (VALUES
+    ('monthly_easy', 24, 6, 12, 100.0::DOUBLE, 0.60::DOUBLE, 12.0::DOUBLE, 1.5::DOUBLE), ('monthly_medium', 24, 6, 12, 120.0, 0.80, 10.0, 5.0), ('monthly_hard', 24, 6, 12, 90.0, -0.30, 6.0, 9.0),
+    ('weekly_easy', 104, 26, 52, 200.0, 0.15, 20.0, 4.0), ('weekly_medium', 104, 26, 52, 180.0, 0.10, 16.0, 9.0), ('weekly_hard', 104, 26, 52, 150.0, -0.05, 12.0, 16.0)),
+  r AS (SELECT *, unnest(range(train + test))::INTEGER AS t FROM spec),
+  m AS (SELECT *, level + trend * t + amplitude * sin(2.0::DOUBLE * pi() * t / period) AS mean FROM r)
+  SELECT series_id, t, period, round(mean + noise * {O.phi_inv(O.uniform(20260802, 'series_id', 't'))}, 6) AS value, round(mean, 6) AS latent_mean, CASE WHEN t < train THEN 'train' ELSE 'test' END AS split FROM m""")
 def study_generator(spark, sf):
-    return study_series(spark)
+    return study_series(spark).select("series_id", "t", "period", r("value"), r("latent_mean"), "split")
 
 
 @query()

@@ -181,7 +181,7 @@ def exp_before_aggregate(spark, sf):
     return p.groupBy("group_id", "step").agg(F.round(F.avg("v"), 5).alias("mean"))
 
 
-@query()
+@query(f"{D} SELECT chain, draw FROM (SELECT DISTINCT chain, draw FROM draws) ORDER BY {O.uniform(42, 'chain', 'draw')}, chain, draw LIMIT 20")
 def draw_subsample(spark, sf):
     return S.draw_subsample(event_draws(spark, sf), 20)
 
