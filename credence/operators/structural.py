@@ -54,7 +54,7 @@ MOST_RETAINED, MOST_FORECAST = 50_000_000, 25_000_000
 
 
 def check_size(values: int, most: int, what: str) -> None:
-    """Refuse a run that would make more values than asked for; raise the limit where the cluster is up to it."""
+    """Refuse a run that would make more values than ``most``; give another limit where the cluster is up to it."""
     if values > most:
         raise StateSpaceError(f"{what} would hold {values} values; the limit is {most}")
 
@@ -270,9 +270,17 @@ def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed
     return dealt.groupBy("series_id", "chain").applyInPandas(run, f"series_id string, chain int, draw int, {columns}")
 
 
-def _steps(fitted: DataFrame, steps: int) -> DataFrame:
+def _check_steps(fitted: DataFrame, steps: int, most: int | None) -> None:
+    """With a limit, a fit's draws are counted first: those of one series, or of all programs of a hierarchy."""
     if steps < 1:
         raise StateSpaceError("steps must be 1 or more")
+    if most is not None:
+        rows = fitted.groupBy(*[c for c in ("series_id",) if c in fitted.columns]).count().agg(F.max("count")).first()[0] or 0
+        check_size(rows * steps, most, "a forecast")
+
+
+def _steps(fitted: DataFrame, steps: int, most: int | None = None) -> DataFrame:
+    _check_steps(fitted, steps, most)
     return fitted.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
 
 
@@ -291,33 +299,36 @@ def _with_cumulative(paths: DataFrame, *columns: str) -> DataFrame:
     return paths.select("series_id", "chain", "draw", "step", *columns, "observation", F.sum("observation").over(_path()).alias("cumulative"))
 
 
-def forecast_local_level(fitted: DataFrame, steps: int, seed=43) -> DataFrame:
-    paths = _steps(fitted, steps).withColumn("level", F.col("terminal_level") + F.sum(F.sqrt("process_variance") * _noise(seed, "level")).over(_path()))
+def forecast_local_level(fitted: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
+    paths = _steps(fitted, steps, most).withColumn("level", F.col("terminal_level") + F.sum(F.sqrt("process_variance") * _noise(seed, "level")).over(_path()))
     return _with_cumulative(paths.withColumn("observation", F.col("level") + F.sqrt("observation_variance") * _noise(seed, "obs")), "level")
 
 
-def forecast_trend(fitted: DataFrame, steps: int, seed=43) -> DataFrame:
+def forecast_trend(fitted: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
     """The level moves with the slope before its step."""
-    paths = _steps(fitted, steps).withColumn("slope", F.col("terminal_slope") + F.sum(F.sqrt("slope_variance") * _noise(seed, "slope")).over(_path()))
+    paths = _steps(fitted, steps, most).withColumn("slope", F.col("terminal_slope") + F.sum(F.sqrt("slope_variance") * _noise(seed, "slope")).over(_path()))
     before = F.coalesce(F.lag("slope").over(Window.partitionBy("series_id", "chain", "draw").orderBy("step")), F.col("terminal_slope"))
     paths = paths.withColumn("move", before + F.sqrt("level_variance") * _noise(seed, "level")).withColumn("level", F.col("terminal_level") + F.sum("move").over(_path()))
     return _with_cumulative(paths.withColumn("observation", F.col("level") + F.sqrt("observation_variance") * _noise(seed, "obs")), "level", "slope")
 
 
-def forecast_seasonal(fitted: DataFrame, steps: int, seed=43) -> DataFrame:
-    """The seasonal states of a draw are an array that is folded over the steps."""
-    grid = _steps(fitted, steps).withColumn("shock", F.sqrt("seasonal_variance") * _noise(seed, "season"))
-    whole = Window.partitionBy("series_id", "chain", "draw")
-    shocks = F.transform(F.array_sort(F.collect_list(F.struct("step", "shock")).over(whole)), lambda x: x["shock"])
-    grid = grid.withColumn("shocks", F.slice(shocks, F.lit(1), F.col("step")))
+def forecast_seasonal(fitted: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
+    """The seasonal states of a draw are an array that is folded over the steps, once for each draw."""
+    _check_steps(fitted, steps, most)
+    noise = lambda name, k: normal(seed ^ FORECAST, F.lit(name), "series_id", "chain", "draw", k)
+    start = F.struct(F.col("terminal_level").alias("level"), F.col("terminal_seasonal").alias("states"), F.array().cast("array<struct<level:double,seasonal:double,observation:double>>").alias("out"))
 
-    def move(states, shock):
-        now = -F.aggregate(states, F.lit(0.0), lambda a, v: a + v) + shock
-        return F.concat(F.array(now), F.slice(states, F.lit(1), F.size(states) - 1))
+    def move(state, k):
+        states = state["states"]
+        now = -F.aggregate(states, F.lit(0.0), lambda a, v: a + v) + F.sqrt("seasonal_variance") * noise("season", k)
+        level = state["level"] + F.sqrt("level_variance") * noise("level", k)
+        seen = level + now + F.sqrt("observation_variance") * noise("obs", k)
+        one = F.struct(level.alias("level"), now.alias("seasonal"), seen.alias("observation"))
+        return F.struct(level.alias("level"), F.concat(F.array(now), F.slice(states, F.lit(1), F.size(states) - 1)).alias("states"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    grid = grid.withColumn("seasonal", F.element_at(F.aggregate("shocks", F.col("terminal_seasonal"), move), 1))
-    grid = grid.withColumn("level", F.col("terminal_level") + F.sum(F.sqrt("level_variance") * _noise(seed, "level")).over(_path()))
-    return _with_cumulative(grid.withColumn("observation", F.col("level") + F.col("seasonal") + F.sqrt("observation_variance") * _noise(seed, "obs")), "level", "seasonal")
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, move)["out"]
+    paths = fitted.select("series_id", "chain", "draw", F.posexplode(path).alias("at", "x"))
+    return _with_cumulative(paths.select("series_id", "chain", "draw", (F.col("at") + 1).alias("step"), "x.*"), "level", "seasonal")
 
 
 # --- autoregression ---------------------------------------------------------------------------------------
@@ -339,9 +350,10 @@ def draw_autoregression(posterior: DataFrame, order: int, chains=4, draws=1000,
     return _chains(posterior, chains).groupBy("series_id", "chain").applyInPandas(run, "series_id string, chain int, draw int, coef array<double>, innovation_variance double")
 
 
-def forecast_autoregression(drawn: DataFrame, history: DataFrame, steps: int, seed=43) -> DataFrame:
+def forecast_autoregression(drawn: DataFrame, history: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
     """Recursive means and observations; ``history`` has the last observations of each series, ``back`` from 1."""
     last = history.groupBy("series_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("back", "y"))), lambda x: x["y"]).alias("past"))
+    _check_steps(drawn, steps, most)
     grid = _steps(drawn.join(last, "series_id"), steps).withColumn("shock", F.sqrt("innovation_variance") * _noise(seed, "ar"))
     shocks = F.transform(F.array_sort(F.collect_list(F.struct("step", "shock"))), lambda x: x["shock"])
     one = grid.groupBy("series_id", "chain", "draw").agg(F.first("coef").alias("coef"), F.first("past").alias("past"), shocks.alias("shocks"))
@@ -370,12 +382,17 @@ class HierarchicalMean:
     population_mean_prior: float = 0.0
     population_variance_prior: float = 100.0
 
-    def fit(self, programs: DataFrame, chains=4, draws=1000, warmup=500, thin=1, seed=42) -> DataFrame:
+    def fit(self, programs: DataFrame, chains=4, draws=1000, warmup=500, thin=1, seed=42, most=MOST_RETAINED) -> DataFrame:
         """Draws in long form (chain, draw, param, id, value) from programs (program_id, group_id, y).
 
+        A fit that would hold more than ``most`` values is refused; a program has one group.
         Rows are aggregated to count, sum and squares of each program first; a chain sees those alone."""
         _check_run(chains, draws, warmup, thin)
         sums = hierarchy_sums(programs)
+        size = sums.agg(F.count("*").alias("pairs"), F.count_distinct("program_id").alias("programs"), F.count_distinct("group_id").alias("groups")).first()
+        if size["pairs"] != size["programs"]:
+            raise InferenceError("a program belongs to one group")
+        check_size(chains * draws * (4 + size["groups"] + size["programs"]), most, "a fit")
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["group_id", "program_id"]).reset_index(drop=True)
@@ -411,8 +428,9 @@ class HierarchicalMean:
         return _chains(sums, chains).groupBy("chain").applyInPandas(run, "chain int, draw int, param string, id string, value double")
 
 
-def forecast_hierarchy(fitted: DataFrame, membership: DataFrame, steps: int, seed=43) -> DataFrame:
+def forecast_hierarchy(fitted: DataFrame, membership: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
     """(chain, draw, step, group_id, program_id, mean, observation): static means and noise."""
+    _check_steps(fitted.where("param = 'program_mean'"), steps, most)
     means = fitted.where("param = 'program_mean'").select("chain", "draw", F.col("id").alias("program_id"), F.col("value").alias("mean"))
     noise = fitted.where("param = 'observation_variance'").select("chain", "draw", F.col("value").alias("v"))
     grid = means.join(noise, ["chain", "draw"]).join(membership.select("program_id", "group_id").distinct(), "program_id")

@@ -367,11 +367,14 @@ class Model:
 
     # --- DataFrames
 
-    def bind(self, df: DataFrame, shared: DataFrame | None = None, strict: bool = True) -> DataFrame:
+    def bind(self, df: DataFrame, shared: DataFrame | None = None, strict: bool = True, override: bool = False) -> DataFrame:
         """``df`` with dataset_id and the needed columns alone, after all checks of all datasets in
-        one aggregate.  ``shared`` has columns by row_idx that every dataset uses."""
+        one aggregate.  ``shared`` has columns by row_idx that every dataset uses; with ``override`` they
+        are defaults, which columns of ``df`` replace, of whatever kind."""
         if shared is not None:
             clash = (set(shared.columns) & set(df.columns)) - {"row_idx"}
+            if override:
+                shared, clash = shared.drop(*clash), set()
             if clash:
                 raise InferenceError(f"{min(clash)!r} is both shared and the dataset's own")
             df = df.join(shared, "row_idx")

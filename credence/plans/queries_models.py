@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import densities as L
 from ..functions.special import exponential, normal
+from ..operators import fits
 from ..operators import predictive as P
 from ..operators import samplers as H
 from ..operators import series as W
@@ -214,6 +215,14 @@ def shared_inputs_bind(spark, sf):
     return regression_model().bind(own, shared).select("dataset_id", "x", r("y"))
 
 
+@query(f"SELECT (i % 3)::VARCHAR AS dataset_id, (i // 3) / 5.0::DOUBLE AS x, round({O.phi_inv(O.uniform(15, 'i // 3'))}, 6) AS y FROM (SELECT unnest(range(60)) AS i)")
+def bind_overrides(spark, sf):
+    """Defaults x and y by row; the datasets' own x takes the place of the default."""
+    defaults = spark.range(20).select(F.col("id").alias("row_idx"), (F.col("id") / 10.0).alias("x"), normal(15, "id").alias("y"))
+    own = spark.range(60).select((F.col("id") % 3).cast("string").alias("dataset_id"), F.floor(F.col("id") / 3).alias("row_idx")).withColumn("x", F.col("row_idx") / 5.0)
+    return regression_model().bind(own, defaults, override=True).select("dataset_id", "x", r("y"))
+
+
 @query()
 def model_artifact(spark, sf):
     m = Model.from_json(regression_model().to_json())
@@ -364,6 +373,18 @@ def gibbs_seasonal(spark, sf):
     return _path_summary(M.forecast_seasonal(M.fit(_revenue(spark, sf), M.SeasonalLocalLevel(7, PRIOR, PRIOR, PRIOR), chains=2, draws=100, warmup=50), 7))
 
 
+@query(f"WITH {O.SERIES} SELECT series_id, 2 AS chains, 4 AS draws, count(*) AS time_count, count(y) AS observed_count, 6::BIGINT AS warmup, 2::BIGINT AS thin, 42::BIGINT AS seed, NULL::BIGINT AS period, NULL::BIGINT AS \"order\", 'gibbs' AS inference_method FROM series GROUP BY ALL")
+def series_fit_metadata(spark, sf):
+    s = daily_revenue(spark, sf)
+    return fits.metadata(M.fit(s, M.LocalLevel(PRIOR, PRIOR), chains=2, draws=4, warmup=6, thin=2), s, warmup=6, thin=2)
+
+
+@query()
+def batch_telemetry(spark, sf):
+    """Acceptance and divergences of one regression for each return flag, with its place in the batch."""
+    return fits.batch_report(H.sample(regression_model(), _lines(spark, sf), chains=2, draws=100, warmup=100, what="transitions"))
+
+
 @query()
 def gibbs_hierarchy(spark, sf):
     p = programs(spark, sf)
