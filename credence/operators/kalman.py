@@ -96,8 +96,39 @@ def stationary_ar1(coefficient, process_variance, observation_variance) -> Syste
 # --- numpy kernels --------------------------------------------------------------------------------
 
 
+def _filter_scalar(s: System, y: np.ndarray) -> dict[str, np.ndarray]:
+    """The filter of a state of one dimension, in plain numbers."""
+    a, h, q, r = float(s.transition[0, 0]), float(s.observation[0]), float(s.process[0, 0]), s.noise
+    m, p, rows = float(s.mean[0]), float(s.covariance[0, 0]), []
+    for v in y.tolist():
+        m = pm = a * m
+        p = pp = a * p * a + q
+        ll = 0.0
+        if v == v:
+            var = h * p * h + r
+            gain, miss = p * h / var, v - h * m
+            ll = -0.5 * (math.log(2 * math.pi * var) + miss * miss / var)
+            m, p = m + gain * miss, (1 - gain * h) ** 2 * p + r * gain * gain
+        rows.append((pm, pp, m, p, ll))
+    pm, pp, fm, fp, ll = np.array(rows, float).reshape(-1, 5).T
+    return {"pm": pm[:, None], "pc": pp[:, None, None], "fm": fm[:, None], "fc": fp[:, None, None], "ll": ll}
+
+
+def _smooth_scalar(s: System, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    a = float(s.transition[0, 0])
+    pm, pc, fm, fc = (f[k].ravel().tolist() for k in ("pm", "pc", "fm", "fc"))
+    sm, sc = fm.copy(), fc.copy()
+    for t in range(len(sm) - 2, -1, -1):
+        back = a * fc[t] / pc[t + 1]
+        sm[t] = fm[t] + back * (sm[t + 1] - pm[t + 1])
+        sc[t] = fc[t] + back * (sc[t + 1] - pc[t + 1]) * back
+    return np.array(sm)[:, None], np.array(sc)[:, None, None]
+
+
 def filter_series(s: System, y: np.ndarray) -> dict[str, np.ndarray]:
     n, d = len(y), s.dimension
+    if d == 1:
+        return _filter_scalar(s, y)
     pm, pc, fm, fc, ll = np.empty((n, d)), np.empty((n, d, d)), np.empty((n, d)), np.empty((n, d, d)), np.zeros(n)
     m, p, eye = s.mean, s.covariance, np.eye(d)
     for t in range(n):
@@ -119,6 +150,8 @@ def filter_series(s: System, y: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def smooth_series(s: System, f: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if s.dimension == 1:
+        return _smooth_scalar(s, f)
     sm, sc = f["fm"].copy(), f["fc"].copy()
     for t in range(len(sm) - 2, -1, -1):
         back = np.linalg.solve(f["pc"][t + 1], s.transition @ f["fc"][t]).T
