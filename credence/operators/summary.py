@@ -188,12 +188,14 @@ def draw_subsample(draws: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return pairs.orderBy(uniform(seed, "chain", "draw"), "chain", "draw").limit(n).orderBy("chain", "draw")
 
 
-def format_table(diagnosed: DataFrame, digits: int = 3) -> str:
-    """A text table of :func:`diagnostics` (or of any small summary), with a line for each warning."""
+def format_table(diagnosed: DataFrame, digits: int = 3, divergences: int = 0) -> str:
+    """A text table of :func:`diagnostics` (or of any small summary), with a line for each warning and for divergences."""
     rows = diagnosed.orderBy(*diagnosed.columns[:1]).toPandas()
     text = rows.round(digits).to_string(index=False)
     if "warnings" in rows:
         said = {"r_hat": "R-hat is above 1.01", "ess": "the effective sample size is below 400"}
         for _, r in rows.iterrows():
             text += "".join(f"\nWarning: {r.iloc[0]}: {said[w]}" for w in r["warnings"].split(",") if w)
+    if divergences:
+        text += f"\nWarning: {divergences} transitions diverged after warm-up"
     return text

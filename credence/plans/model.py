@@ -7,6 +7,7 @@ all datasets in one aggregate, and evaluates its log density and gradient in num
 
 from __future__ import annotations
 
+import hashlib
 import json
 import math
 from collections.abc import Sequence
@@ -252,8 +253,21 @@ class ModelBuilder:
     def negative_binomial_likelihood(self, name, eta_expr, alpha, observed_key):
         self._observe(name, "negative_binomial", eta_expr, alpha, observed_key)
 
-    def compile(self, widths: dict[str, int] | None = None) -> Model:
-        """The model; ``widths`` are those of array columns whose parameter is a scalar prior used with @."""
+    def _widths(self, data: DataFrame) -> dict[str, int]:
+        """Widths of the array columns that scalar priors are used with, from the data; binding checks every row."""
+        scalar = {p.name for p in self.priors if p.size is None}
+        columns = list(dict.fromkeys(c for x in self.likelihoods for k, n, c, _ in x.terms if k == "matvec" and n in scalar))
+        for c in columns:
+            if c not in data.columns:
+                raise InferenceError(f"missing matrix {c!r}{suggestion(c, data.columns, 2)}")
+        found = data.agg(*[F.max(F.size(c)).alias(c) for c in columns]).first().asDict() if columns else {}
+        return {c: w for c, w in found.items() if w and w > 0}
+
+    def compile(self, widths: dict[str, int] | None = None, data: DataFrame | None = None) -> Model:
+        """The model; ``widths`` are those of array columns whose parameter is a scalar prior used with @,
+        and are taken from ``data`` where they aren't given."""
+        if data is not None:
+            widths = self._widths(data) | (widths or {})
         known, used = [], {p.name for p in self.priors}
         for p in self.priors:
             for a in p.args:
@@ -330,6 +344,11 @@ class Model:
 
     # --- artifacts
 
+    @property
+    def structure_id(self) -> str:
+        """A digest of all that makes the model, the same for equal models."""
+        return hashlib.sha256(json.dumps(json.loads(self.to_json()), sort_keys=True).encode()).hexdigest()
+
     def to_json(self) -> str:
         return json.dumps({"version": self.VERSION, "priors": [vars(p) for p in self.priors], "likelihoods": [vars(x) for x in self.likelihoods]}, indent=2)
 

@@ -113,3 +113,18 @@ def test_artifacts_are_checked():
         change(bad)
         with pytest.raises((InferenceError, ParameterError)):
             Model.from_json(json.dumps(bad))
+
+
+def test_widths_from_data_and_structure_id(spark):
+    """A scalar prior used with @ becomes a vector as wide as the data's arrays."""
+    df = spark.createDataFrame([([0.1 * k, 1.0, -0.5 * k], 1.0 + 0.3 * k) for k in range(12)], "x array<double>, y double")
+    b = ModelBuilder()
+    b.normal_likelihood("y", b.student_t_prior("beta", 4.0, 0.0, 1.0) @ "x", 1.0, "y")
+    m = b.compile(data=df)
+    assert m.param_names == ["beta[0]", "beta[1]", "beta[2]"] and m.bind(df).count() == 12
+    again = Model.from_json(m.to_json())
+    assert again.structure_id == m.structure_id != regression_model().structure_id
+    with pytest.raises(InferenceError, match="did you mean 'x'"):
+        c = ModelBuilder()
+        c.normal_likelihood("y", c.student_t_prior("beta", 4.0, 0.0, 1.0) @ "xx", 1.0, "y")
+        c.compile(data=df)
