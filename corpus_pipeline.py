@@ -21,8 +21,20 @@ SHARDS = 16
 LEAST_SCORE = 0.5
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key as last column, and its name: rows share a key where all their columns are equal."""
+    name = "row_key"
+    while name in docs.columns:
+        name += "_"
+    marked = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in docs.columns]
+    return docs.select("*", F.md5(F.concat_ws("\0", *marked)).alias(name)), name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; what goes has no letter or no clear language."""
+    """Documents whose language is recognised; what goes has no letter or no clear language.
+
+    Null and empty texts go.  Equal texts are treated alike, repeated rows stay; equal scores go to the
+    language that comes first.  An empty table, or one without labelled rows, gives an empty result."""
     model = spark.sparkContext.broadcast(language.train(docs))
 
     @F.pandas_udf("boolean")
@@ -34,29 +46,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join: the one with the least id.
+    """One document of each component of the n-gram Jaccard join: the one with the least hash of its columns.
 
-    Rows that repeat an id keep one; rows without an id are kept."""
-    found = jaccard.ngram_components(docs, size=5, num=80, den=100)
-    others = keep(found.where("doc_id != component_id").select("doc_id").distinct(), "duplicates")
-    firsts = docs.join(others, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
-    return firsts.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(firsts.where("doc_id is null"))
+    Ids play no part: a null or repeated id loses no text.  Of rows equal in all columns one stays.
+    Texts without words are no duplicates of each other.  An empty table gives an empty result."""
+    rows, key = _keyed(docs)
+    found = jaccard.ngram_components(rows, size=5, num=80, den=100, key=key)
+    others = keep(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), "duplicates")
+    return rows.join(others, key, "left_anti").dropDuplicates([key]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a stretch of a benchmark item."""
-    leaks = decontamination.find_overlaps(docs, table(spark, sf_dir, "benchmark"))
-    leaks = keep(leaks.select("doc_id").distinct(), "leaks")
-    return docs.join(leaks, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    """Documents without a stretch of a benchmark item.
+
+    Each row is judged by its own text, whatever its id; null and empty texts stay.  Repeated rows stay
+    or go together.  An empty table gives an empty result, an empty benchmark all rows."""
+    rows, key = _keyed(docs)
+    leaks = decontamination.find_overlaps(rows, table(spark, sf_dir, "benchmark"), key=key)
+    leaks = keep(leaks.select(key).distinct(), "leaks")
+    return rows.join(leaks, key, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; longer documents are likelier to be taken once more.
+
+    Null texts and texts without words are not taken.  A null source is one of its own.  Ties are
+    resolved as in the operator.  An empty table gives an empty result."""
     return mixing.mix_sources(docs, carry=True)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of each document of the mix."""
+    """The shard and slot of each document of the mix, repeats counted; null texts and ids have a place too.
+
+    Equal texts go together as far as the quotas allow.  An empty table gives an empty result."""
     return sharding.shard_documents(docs, n_shards=SHARDS)
 
 
@@ -70,7 +92,7 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
+    """All stages over the documents of ``sf_dir``; what a stage returns is defined for odd rows in its own words."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
