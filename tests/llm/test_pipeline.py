@@ -21,5 +21,21 @@ def test_odd_rows(spark, sf, odd, none):
     for name, stage in C.STAGES[:4]:
         assert stage(spark, none, sf).count() == 0, name
         assert stage(spark, odd, sf).columns == odd.columns, name
+    assert C.shard(spark, none, sf).count() == 0 and C.shard(spark, odd, sf).count() == odd.count()
     kept = C.near_duplicates(spark, odd, sf).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == [1, 2, 3, 4, 5, 8, 9, 10] and sum(r.doc_id is None for r in kept) == 2
+    prose = {r.doc_id for r in kept if r.doc_id in (1, 6, 7, 11) or r.doc_id is None and r.text}
+    assert len(prose) == 1 and sorted(r.doc_id for r in kept if r.doc_id in (2, 3, 4, 5, 8, 9, 10)) == [2, 3, 4, 5, 8, 9, 10]
+    assert len(kept) == 9 and sum(r.text is None for r in kept) == 2
+
+
+def test_ids_lose_no_text(spark, sf):
+    """Rows without an id, and rows that share one, are judged by their own texts."""
+    item = table(spark, sf, "benchmark").first().text
+    texts = {k: " ".join(f"{k}{i * i % 89}" for i in range(50)) for k in "abcd"}
+    rows = [(1, texts["a"]), (1, texts["b"]), (1, texts["b"] + " more"), (None, texts["c"]), (None, texts["c"]), (2, texts["c"] + " more"), (3, item), (None, item), (3, texts["d"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = lambda df: sorted({k for k in texts for r in df.collect() if r.text.startswith(k)})
+    once = C.near_duplicates(spark, docs, sf)
+    assert once.count() == 5 and left(once) == list("abcd")
+    clean = C.decontaminate(spark, docs, sf)
+    assert clean.count() == 7 and left(clean) == list("abcd") and not any(r.text == item for r in clean.collect())
