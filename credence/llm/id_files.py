@@ -247,7 +247,10 @@ def write_id_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, key
 
 def read_id_files(manifest: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, start (ids of all documents before it), n_tokens and ids_crc32 of every document in the
-    files, looked up through their indexes.  The manifest has a row for each file."""
+    files, looked up through their indexes.  The manifest has a row for each file.
+
+    Null and empty texts have the end id alone; null and repeated keys have a row for each document;
+    without files there are no rows."""
     order = Window.partitionBy(F.lit(0)).orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, 0)
     based = manifest.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).select("file", "base")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))

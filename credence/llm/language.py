@@ -40,7 +40,7 @@ class Grams:
             return np.zeros(0, np.int64)
         chars = np.where(letter, codes, 32)
         chars = chars[np.concatenate([[True], letter[1:] | letter[:-1]])]  # one space between words
-        chars = np.concatenate([[32], chars, [32]]).astype(_U)
+        chars = np.concatenate([[32], chars[int(chars[0] == 32) : len(chars) - int(chars[-1] == 32)], [32]]).astype(_U)
         out, h = [], np.zeros(len(chars), _U)
         for n in range(1, self.longest + 1):
             h = h[: len(chars) - n + 1] * _U(0x100000001B3) + chars[n - 1 :] + _U(n)
@@ -98,7 +98,9 @@ def train(docs: DataFrame, per_language: int = 4000, grams: Grams = Grams(), key
     """Fit on the labelled rows that aren't held out: about ``per_language`` rows of each language,
     chosen by a hash of the key (all of them where there are fewer).
 
-    The languages are a short list; what is gathered is ``buckets`` counts for each.
+    The languages are a short list; what is gathered is ``buckets`` counts for each.  Rows without a
+    label or a text teach nothing, rows without a key are learnt from, repeated rows count each.  Without
+    a labelled row the model knows no language.  Equal scores go to the language that comes first.
     """
     rows = columns(docs, key, text, lang).toDF("doc_id", "text", "lang").where(F.col("lang").isNotNull() & ~held_out("doc_id"))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}

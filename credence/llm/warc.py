@@ -61,7 +61,9 @@ def write_archives(pages: DataFrame, folder: str, key: str = "page_id", url: str
 
     Of rows with equal payloads of at least LEAST_REVISIT bytes, the one with the largest key is the
     response and the others are revisits of it; shorter payloads are all responses.  Only keys and
-    digests are grouped, never payloads.
+    digests are grouped, never payloads.  A null payload is an empty one, a null url an empty string;
+    rows repeated with one key are records each, and the response among equal ones.  An empty table
+    writes no archive.
     """
     rows = columns(pages, key, url, html).toDF("page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
     rows = rows.withColumn("sha1", F.sha1("html"))
