@@ -80,7 +80,7 @@ FROM m
 
 OP4_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+  SELECT doc_id, source, coalesce(md5(text), '') AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
 ), n AS (
@@ -100,15 +100,23 @@ WITH d AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS sure FROM t
 ), o AS (
   SELECT *, target - sure * source_size AS owed FROM p
+), g AS (
+  SELECT source, length(bin(size))::DOUBLE AS odds, sum(size)::BIGINT AS words FROM d WHERE size > 0 GROUP BY ALL
+), h AS (
+  SELECT g.source, odds, (o.owed - (sum(words) OVER (PARTITION BY g.source ORDER BY odds DESC ROWS UNBOUNDED PRECEDING) - words)::DOUBLE)
+    / sum(words * odds) OVER (PARTITION BY g.source ORDER BY odds ROWS UNBOUNDED PRECEDING) AS factor
+  FROM g JOIN o ON g.source IS NOT DISTINCT FROM o.source
+), x AS (
+  SELECT source, max_by(factor, odds) AS factor FROM h WHERE factor * odds <= 1 GROUP BY source
 ), u AS (
   SELECT d.*, o.source_size, o.target, o.sure, o.owed,
-    CASE WHEN o.source_size > 0 THEN least(1.0::DOUBLE, o.owed * 1.0::DOUBLE / o.source_size::DOUBLE) ELSE 0 END AS p,
-    ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|mix'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source
+    CASE WHEN size > 0 THEN least(1.0::DOUBLE, coalesce(x.factor, 0) * length(bin(size))::DOUBLE) ELSE 0 END AS p,
+    ((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '|' || digest || '|mix'), 1, 13))::BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source LEFT JOIN x ON d.source IS NOT DISTINCT FROM x.source
 ), k AS (
   SELECT *, CASE WHEN p > 0 THEN (u * (1 - p)) / ((u * (1 - p)) + (p * (1 - u))) ELSE 1 END AS ord FROM u
 ), c AS (
-  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p > 0 DESC, ord, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS reached FROM k
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p > 0 DESC, ord, doc_id, size, u ROWS UNBOUNDED PRECEDING)::BIGINT AS reached FROM k
 ), e AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE sure + CASE WHEN p > 0 AND (reached <= owed OR (owed - (reached - size) > 0 AND reached - owed <= owed - (reached - size))) THEN 1 ELSE 0 END END AS copies FROM c
 )

@@ -61,5 +61,31 @@ def test_unequal_odds(spark):
     assert 2.2 < rate[False] / rate[True] < 3.8
 
 
+def test_certain_units_and_shares(spark):
+    """Odds that would be above 1 are certain ones; the others share what is left in proportion."""
+    rows = [(10, 1.0), (40, 2.0), (30, 8.0), (20, 64.0)]
+    levels = spark.createDataFrame([("a", o, w) for w, o in rows] + [(None, 1.0, 5)], "`mix$source` string, `mix$odds` double, words long")
+    owed = spark.createDataFrame([("a", 66.0), (None, 0.0)], "`mix$at` string, `mix$owed` double")
+    got = {r[0]: r[1] for r in mixing._factors(levels, owed).collect()}
+    assert got[None] == 0 and got["a"] == pytest.approx((66 - 20 - 30) / (10 * 1 + 40 * 2)) and got["a"] * 2 <= 1
+    assert sum(w * min(1, got["a"] * o) for w, o in rows) == pytest.approx(66)
+
+
+def test_longer_documents_are_likelier(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('s', id % 2) as source", "repeat('w ', case when id % 4 < 2 then 3 else 100 end) as text")
+    got = collections.defaultdict(list)
+    for r in mixing.mix_sources(docs, weights=(1, 3)).collect():
+        if r.doc_id % 2 == 0:
+            got[r["size"]].append(r.copies)
+    rate = {k: sum(v) / len(v) for k, v in got.items()}
+    assert 2.8 < rate[100] / rate[3] < 4.3  # seven binary digits against two
+
+
+def test_rows_without_id_are_drawn_apart(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('s', id % 2) as source", "concat('w ', id) as text")
+    taken = mixing.mix_sources(docs, weights=(1, 3)).where("copies = 0").count()
+    assert 600 < taken < 900
+
+
 def test_equals_sql(spark, sf):
     same(queries.op4_mixing(spark, sf).toPandas(), duck(sf, queries.OP4_SQL))
