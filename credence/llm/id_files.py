@@ -30,8 +30,8 @@ from .token_counts import _tokenizer, chunks
 MAGIC = b"CREDIDS1"
 #: Runs that a worker remembers before it starts again.
 MEMO = 1_000_000
-#: Ids after which a task begins a new file.
-FILE_IDS = 64_000_000
+#: Ids or documents after which a task begins a new file; it holds a key and a count for each document.
+FILE_IDS, FILE_DOCS = 64_000_000, 2_000_000
 _U = np.uint64
 
 
@@ -211,14 +211,14 @@ def write_id_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, key
     """Encode ``docs`` into id files under ``folder`` in ascending order of ``key``.
 
     Returns the manifest: part, seq (the files' order), file, n_docs, n_ids.  One range of keys is
-    one task; it holds one document at a time and begins a new file after FILE_IDS ids.  A task
+    one task; it holds one document at a time and begins a new file after FILE_IDS ids or FILE_DOCS documents.  A task
     that runs again writes files of new names, and only those of the attempt that ended are listed.
     """
     spark = docs.sparkSession
     vocabulary = _tokenizer(path).get_vocab_size()
     dtype = "<u2" if max(vocabulary, end_id + 1) <= 1 << 16 else "<u4"
     rows = columns(docs, key, text).toDF("k", "text").select(F.col("k").cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n, most_ids, most_docs = files or int(spark.conf.get("spark.sql.shuffle.partitions")), FILE_IDS, FILE_DOCS
     rows = rows.repartitionByRange(n, "k", F.xxhash64("text")).sortWithinPartitions("k", F.xxhash64("text"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -236,7 +236,7 @@ def write_id_files(docs: DataFrame, path: str, folder: str, end_id: int = 2, key
                         writer = FileWriter(f"{folder}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", dtype)
                     writer.add(k, ids)
                     written += len(ids) // np.dtype(dtype).itemsize
-                    if written >= FILE_IDS:
+                    if written >= most_ids or len(writer.keys) >= most_docs:
                         yield pd.DataFrame([{"part": part, "seq": seq} | writer.close()])
                         writer, written, seq = None, 0, seq + 1
         if writer is not None:

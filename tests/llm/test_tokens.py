@@ -90,3 +90,12 @@ def test_mixed_white_space():
     texts = [*(f"a{nbsp * n} b" for n in (1, 2, 4, 8, 9)), "a\n \n b", "a\t \t b", "a \t b  c", *("".join(rng.choice(parts, 12)) for _ in range(2000))]
     c, tok = token_counts.Counter(BYTE, token_counts.whole_tokens(BYTE)), Tokenizer.from_file(BYTE)
     assert c.count(texts) == [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_many_small_documents_begin_new_files(spark, tmp_path, monkeypatch):
+    docs = spark.range(40).selectExpr("id as doc_id", "case when id % 3 = 0 then '' else concat('word ', id) end as text")
+    whole = sorted(map(tuple, id_files.id_files(docs, WORD).collect()))
+    monkeypatch.setattr(id_files, "FILE_DOCS", 3)
+    manifest = id_files.write_id_files(docs, WORD, f"file://{tmp_path}/ids", files=2)
+    assert max(r.n_docs for r in manifest.collect()) == 3 and manifest.count() >= 14
+    assert sorted(map(tuple, id_files.read_id_files(manifest).collect())) == whole
