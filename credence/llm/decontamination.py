@@ -25,8 +25,8 @@ _U = np.uint64
 BLOCK, BLOCKS, KEPT = 3, 4, 2
 SPAN = BLOCK * BLOCKS
 MASKS = list(combinations(range(BLOCKS), KEPT))
-#: Words that have to agree (or all of a shorter item), and their share in the stretch.
-LEAST_WORDS, LEAST_SHARE = 10, 0.8
+#: Words that have to agree (or all of a shorter item), and their share in the stretch, as a fraction.
+LEAST_WORDS, LEAST_SHARE = 10, (4, 5)
 #: Bytes of benchmark text that are broadcast at a time.
 BLOCK_BYTES = 16_000_000
 FILTER_BITS = 22
@@ -96,19 +96,22 @@ class Seeds:
         return iter(sorted(found))
 
     def overlap(self, words: np.ndarray, item: int, diagonal: int) -> tuple[int, int, int] | None:
-        """(first word, words compared, words equal) of the best stretch on a diagonal, if it counts."""
+        """(first word, words compared, words equal) of the stretch with most equal words on a diagonal, if one counts.
+
+        With 1 for an equal word and -cost for another, a stretch has its share of equal words where its
+        sum isn't negative; the longest such one up to a word starts where the sums were first as low."""
         own = self.words[item]
         lo, hi = max(0, -diagonal), min(len(own), len(words) - diagonal)
         same = own[lo:hi] == words[lo + diagonal : hi + diagonal]
-        for cost in (1, 2, 3):  # the stretch with the largest sum of 1 for an equal word and -cost for another
-            sums = np.concatenate([[0], np.cumsum(np.where(same, 1, -cost))])
-            low = np.minimum.accumulate(sums)
-            last = int(np.argmax(sums - low))
-            first = int(np.flatnonzero(sums[: last + 1] == low[last])[-1])
-            n, equal = last - first, int(same[first:last].sum())
-            if equal >= min(LEAST_WORDS, len(own)) and equal >= LEAST_SHARE * n:
-                return lo + first + diagonal, n, equal
-        return None
+        sums = np.concatenate([[0], np.cumsum(np.where(same, LEAST_SHARE[1] - LEAST_SHARE[0], -LEAST_SHARE[0]))])
+        low = np.minimum.accumulate(sums)
+        starts = np.searchsorted(-low, -sums, "left")  # the first place where ``low`` is at most the sum
+        equals = np.concatenate([[0], np.cumsum(same)])
+        last = int(np.argmax(equals - equals[starts]))
+        at = np.flatnonzero(same[starts[last] : last]) + starts[last]  # without unequal words at the ends
+        if len(at) < min(LEAST_WORDS, len(own)) or not len(at):
+            return None
+        return lo + int(at[0]) + diagonal, int(at[-1] - at[0]) + 1, len(at)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,7 +122,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     counts with 10 equal words (or all of a shorter item) that are 80 % of it; up to two substitutions in 12
     words can't hide one.  Null and empty texts, and items without a word, share nothing.  Repeated
     rows are reported each; a repeated item id counts once for each text.  Empty tables give an
-    empty result; further columns are not read.  The benchmark is taken in blocks of BLOCK_BYTES, each a pass over ``docs``.
+    empty result; further columns are not read.  Of equally long stretches with an item the first counts.  The benchmark is taken in blocks of BLOCK_BYTES, each a pass over ``docs``.
     """
     rows = columns(docs, key, text).toDF("doc_id", "text")
     items = columns(benchmark, item_key, item_text).toDF("item_id", "text").where("text is not null").distinct()
@@ -132,6 +135,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == block).select("item_id", "text").toPandas()
         seeds = docs.sparkSession.sparkContext.broadcast(Seeds.of(part["item_id"].tolist(), part["text"].tolist()))
         found = rows.where("text is not null").mapInPandas(_search(seeds), f"doc_id {kind}, item_id {item_kind}, first_word long, n_words long, n_equal long")
+        if n_blocks > 1:  # the driver and executors hold the seeds of one block at a time
+            found = keep(found, "overlaps")
+            seeds.destroy()
         out = found if out is None else out.union(found)
     return out.withColumnRenamed("doc_id", key)
 

@@ -54,3 +54,34 @@ def test_odd_rows(odd, none, bench, spark):
     own = spark.createDataFrame([(1, next(r.text for r in odd.where("doc_id = 1").collect()))], "item_id long, text string")
     got = decontamination.find_overlaps(odd, own).collect()
     assert sorted(r.doc_id or 0 for r in got) == [0, 1, 1, 6, 7, 11]
+
+
+def test_against_every_diagonal(spark):
+    """Brute force: what is found counts on some diagonal, and nothing with two substitutions in 12 words is missed."""
+    rng = random.Random(4)
+    items = {k: [f"w{rng.randrange(400)}" for _ in range(rng.randrange(9, 40))] for k in range(8)}
+    docs = {}
+    for d in range(60):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.randrange(0, 60))]
+        if d % 3:
+            own = items[rng.randrange(8)]
+            a = rng.randrange(0, max(1, len(own) - 12))
+            part = [f"x{rng.randrange(99)}" if rng.random() < 0.05 * (d % 6) else w for w in own[a : a + rng.randrange(8, 30)]]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = part
+        docs[d] = words
+    seeds = decontamination.Seeds.of(list(items), [" ".join(w) for w in items.values()])
+    cut = dict(decontamination.Words(decontamination.NOT_WORD).of([" ".join(docs[d]) for d in sorted(docs)]))
+    counts, sure = set(), set()
+    for d, own in docs.items():
+        for i, item in items.items():
+            for diagonal in range(-len(item), len(own)):
+                if seeds.overlap(cut[d], i, diagonal):
+                    counts.add((d, i))
+                same = [own[k + diagonal] == w for k, w in enumerate(item) if 0 <= k + diagonal < len(own)]
+                if any(sum(same[k : k + 12]) >= 10 for k in range(len(same) - 11)) or len(item) < 12 and len(same) == len(item) and all(same):
+                    sure.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.find_overlaps(df, bench).collect()}
+    assert len(sure) > 15 and sure <= got <= counts
