@@ -1,11 +1,12 @@
 """Winnowing over line hashes, with DataFrame operations only.
 
 A window is the shortest run of lines from a place on, or up to a place, that holds ``words`` words.
-Each window of a document is matched with the first place in the corpus where the same lines stand,
-and goes if that is another place.  Every repeated run of at least ``words`` words goes whole,
-whatever its earlier copies are followed by: each of its lines lies in a window within the run, as
-one that starts at the run's first line or one that ends at the line.  No window is left out by its
-hash, so nothing has to be extended.
+Its fingerprint is its least line hash, at the place where that first stands.  Equal windows have equal
+fingerprints, so only windows whose fingerprint stands at several places can repeat.  Those are extended
+both ways to their whole run of lines and matched with the first place in the corpus where the same lines
+stand; a window goes if that is another place.  Every repeated run of at least ``words`` words goes
+whole, whatever its earlier copies are followed by: each of its lines lies in a window within the run,
+as one that starts at the run's first line or one that ends at the line.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ def hashed_lines(rows: DataFrame) -> DataFrame:
 
 
 def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, body, first, last, window) of each different window of ``docs`` (doc_id, body, lines); places count from 0."""
+    """(doc_id, body, first, last, window, least, at) of each different window of ``docs`` (doc_id, body, lines), with
+    its fingerprint ``least`` and the place of that; places count from 0."""
     lines = docs.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
     lines = lines.select("doc_id", "body", "pos", "line.hash", F.col("line.n").cast("long").alias("n"))
     doc = Window.partitionBy("doc_id", "body")
@@ -42,7 +44,7 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     # every line holds a word, so these are the lines of the shortest run with that many words
     lines = lines.withColumn("on", F.collect_list("hash").over(doc.orderBy("before").rangeBetween(0, words - 1)))
     lines = lines.withColumn("back", F.collect_list("hash").over(doc.orderBy("upto").rangeBetween(1 - words, 0)))
-    place = lambda run, first: F.struct(first.cast("int").alias("first"), (first + F.size(run) - 1).cast("int").alias("last"), F.xxhash64(run).alias("window"))
+    place = lambda run, first: F.struct(first.cast("int").alias("first"), (first + F.size(run) - 1).cast("int").alias("last"), F.xxhash64(run).alias("window"), F.array_min(run).alias("least"), (first + F.array_position(run, F.array_min(run)) - 1).cast("int").alias("at"))
     on = F.when(F.col("total") - F.col("before") >= words, place("on", F.col("pos")))
     back = F.when(F.col("upto") >= words, place("back", F.col("pos") - F.size("back") + 1))
     found = lines.select("doc_id", "body", F.explode(F.array_compact(F.array_distinct(F.array(on, back)))).alias("x"))
@@ -52,10 +54,13 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, body, first, last) of the runs of lines of ``docs`` (doc_id, body, lines) that occur before."""
     all_windows = keep(windows(docs, words), "windows")
-    origin = all_windows.groupBy("window").agg(F.min(F.struct("doc_id", "body", "first")).alias("o"), F.max(F.struct("doc_id", "body", "first")).alias("end"))
+    place = F.struct("doc_id", "body", "at")
+    shared = all_windows.groupBy("least").agg(F.min(place).alias("one"), F.max(place).alias("other")).where(~F.col("one").eqNullSafe(F.col("other")))
+    likely = keep(all_windows.join(shared.select("least"), "least", "left_semi").select("doc_id", "body", "first", "last", "window"), "likely")
+    origin = likely.groupBy("window").agg(F.min(F.struct("doc_id", "body", "first")).alias("o"), F.max(F.struct("doc_id", "body", "first")).alias("end"))
     origin = keep(origin.where(~F.col("o").eqNullSafe(F.col("end"))).select("window", F.col("o.doc_id").alias("at_doc"), F.col("o.body").alias("at_body"), F.col("o.first").alias("at")), "origins")
     same_place = F.col("doc_id").eqNullSafe(F.col("at_doc")) & (F.col("body") == F.col("at_body")) & (F.col("first") == F.col("at"))
-    return all_windows.join(origin, "window").where(~same_place).select("doc_id", "body", "first", "last")
+    return likely.join(origin, "window").where(~same_place).select("doc_id", "body", "first", "last")
 
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
