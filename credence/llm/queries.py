@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, id_files, jaccard, language, line_dedup, media, merkle, mixing, sharding, token_counts, warc
+from . import decontamination, divergence, id_files, jaccard, language, line_dedup, media, merkle, mixing, sharding, token_counts, warc
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_with_tampering(table(spark, sf_dir, "documents"))
 
@@ -139,10 +143,11 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
+    "op11_divergence": op11_divergence,
     "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
-ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op13_merkle": merkle.manifest_sql()}
+ORACLES = {"op4_mixing": OP4_SQL, "op8_warc": OP8_SQL, "op11_divergence": divergence.SQL, "op13_merkle": merkle.manifest_sql()}
 
 
 def queries() -> dict:
