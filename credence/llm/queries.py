@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, divergence, id_files, jaccard, language, line_dedup, media, merkle, mixing, sharding, token_counts, warc
+from . import byte_bpe, decontamination, divergence, id_files, jaccard, language, line_dedup, media, merkle, mixing, sharding, token_counts, warc
 from .common import table
 
 
@@ -62,6 +62,12 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.round_trip(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest_with_tampering(table(spark, sf_dir, "documents"))
 
@@ -144,6 +150,7 @@ QUERIES = {
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_decontamination": op10_decontamination,
     "op11_divergence": op11_divergence,
+    "op12_byte_bpe": op12_byte_bpe,
     "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
