@@ -68,15 +68,27 @@ def _likelihood(kind: str, y, eta, scale, weight):
     return float(weight @ value), weight * (a * (y - mu) / (a + mu)), float(weight @ by_a)
 
 
+def _centred(n, *sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """n, means and centred products, a row for each dataset, from those or from plain sums with a first column of 1."""
+    n = np.atleast_1d(np.asarray(n, float))
+    if len(sums) == 1:
+        gram = sums[0] if sums[0].ndim == 3 else sums[0][None]
+        mean = gram[:, 0, 1:] / n[:, None]
+        return n, mean, gram[:, 1:, 1:] - n[:, None, None] * mean[:, :, None] * mean[:, None, :]
+    mean, cross = sums
+    return n, np.atleast_2d(mean), cross if cross.ndim == 3 else cross[None]
+
+
 class Target:
     """Log density and gradient of a model on the raw scale, a row of ``raw`` for each chain.
 
     ``rows`` are of one dataset, and ``weight`` tells how often each occurs (once without it); ``stats``
-    (n and the sums for each likelihood) are of one dataset, or of one for each chain."""
+    (n, means and centred products for each likelihood, or n and plain sums) are of one dataset, or of one
+    for each chain."""
 
     def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None):
         self.model, self.rows, self.weight = model, rows, weight
-        self.stats = stats and [(np.atleast_1d(np.asarray(n, float)), gram if gram.ndim == 3 else gram[None]) for n, gram in stats]
+        self.stats = stats and [_centred(*x) for x in stats]
         self.places = []
         for like in model.likelihoods if stats else []:
             at = {c: k for k, c in enumerate(model.design(like))}
@@ -130,16 +142,21 @@ class Target:
         return norm - a[0] * _softplus(-z) - a[1] * _softplus(z), a[0] - (a[0] + a[1]) * s
 
     def _from_sums(self, i: int, like, x: dict, scale: np.ndarray, at: np.ndarray | slice):
-        n, gram = self.stats[i]
-        n, gram = (n[at], gram[at]) if len(n) > 1 else (n, gram)
-        coef = np.zeros((len(scale), gram.shape[-1] - 1))
+        n, mean, cross = (v[at] if len(v) > 1 else v for v in self.stats[i])
+        coef, shift = np.zeros((len(scale), mean.shape[-1])), np.zeros(len(scale))
         for (kind, name, _, c), k in zip(like.terms, self.places[i]):
-            coef[:, k] += c if kind == "const" else x[name]
-        v = np.concatenate([-coef, np.ones((len(coef), 1))], 1)
-        moved = np.matmul(gram, v[:, :, None])[:, :, 0]
-        rss = np.maximum((v * moved).sum(1), 0.0)
+            if kind != "const":
+                coef[:, k] += x[name]
+            else:
+                shift += c
+        # residuals are their mean (constants go first, where they take the offset away) and deviations from it
+        middle = (mean[:, -1] - shift) - coef[:, 0] - (coef[:, 1:] * mean[:, :-1]).sum(1)
+        v = np.concatenate([-coef[:, 1:], np.ones((len(coef), 1))], 1)
+        moved = np.matmul(cross, v[:, :, None])[:, :, 0]
+        rss = n * middle**2 + np.maximum((v * moved).sum(1), 0.0)
         value = -0.5 * rss / scale**2 - n * (np.log(scale) + 0.5 * math.log(2 * math.pi))
-        by_coef = moved[:, :-1] / scale[:, None] ** 2
+        pull = (n * middle)[:, None]
+        by_coef = np.concatenate([pull, pull * mean[:, :-1] + moved[:, :-1]], 1) / scale[:, None] ** 2
         return value, [by_coef[:, k] for k in self.places[i]], rss / scale**3 - n / scale
 
     def _from_rows(self, like, x: dict, scale: np.ndarray | None, chains: int):
@@ -522,7 +539,7 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
     chain = F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain")
     if model.gaussian:
         stats = model.gaussian_stats(bound).select("*", chain)
-        sizes = [len(model.design(x)) + 1 for x in model.likelihoods]
+        sizes = [len(model.design(x)) for x in model.likelihoods]
 
         together = max(1, min(TOGETHER, MOST_NUMBERS // max(sum(k * k for k in sizes), (draws if what == "draws" else 1) * max(1, len(names)))))
 
@@ -531,10 +548,9 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
                 for start in range(0, len(whole), together):
                     pdf, held = whole.iloc[start : start + together], []
                     for i, k in enumerate(sizes):
-                        gram = np.zeros((len(pdf), k, k))
-                        upper = np.triu_indices(k)
-                        gram[:, upper[0], upper[1]] = gram[:, upper[1], upper[0]] = np.stack(pdf[f"s{i}"].to_numpy())
-                        held.append((pdf["n"].to_numpy(float), gram))
+                        cross, upper = np.zeros((len(pdf), k, k)), np.triu_indices(k)
+                        cross[:, upper[0], upper[1]] = cross[:, upper[1], upper[0]] = np.stack(pdf[f"s{i}"].to_numpy())
+                        held.append((pdf["n"].to_numpy(float), np.stack(pdf[f"m{i}"].to_numpy()), cross))
                     yield emit(pdf["dataset_id"].tolist(), pdf["chain"].tolist(), Target(model, stats=held))
 
         tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.moments import mean_of, products_of
+
 LAGS = (1, 2, 3, 4, 6, 12, 26, 52)
 WIDTHS = (3, 6, 12, 26, 52)
 
@@ -92,12 +94,10 @@ def last_values(series: DataFrame, p: int) -> DataFrame:
 
 
 def gaussian_sums(df: DataFrame, xs: list[Column | str], y: Column | str, by: list[str]) -> DataFrame:
-    """n, XᵀX (upper triangle), Xᵀy and yᵀy: all that a Gaussian likelihood needs of its rows."""
-    xs = [x if isinstance(x, Column) else F.col(x) for x in xs]
-    y = y if isinstance(y, Column) else F.col(y)
-    sums = [F.sum(xs[i] * xs[j]).alias(f"x{i}x{j}") for i in range(len(xs)) for j in range(i, len(xs))]
-    sums += [F.sum(x * y).alias(f"x{i}y") for i, x in enumerate(xs)]
-    return df.groupBy(*by).agg(F.count("*").alias("n"), *sums, F.sum(y * y).alias("yy"))
+    """n, means and centred products (upper triangle) of the predictors, then the response: all that a Gaussian
+    likelihood needs of its rows, without the digits that raw squares lose."""
+    cols = [c if isinstance(c, Column) else F.col(c) for c in (*xs, y)]
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[mean_of(c) for c in cols]).alias("means"), F.array(*products_of(cols)).alias("products"))
 
 
 def ar_design(series: DataFrame, order: int) -> DataFrame:
@@ -107,6 +107,31 @@ def ar_design(series: DataFrame, order: int) -> DataFrame:
     return out.withColumn("place", F.row_number().over(w)).where(F.col("place") > order).drop("place")
 
 
+def nig_solve(n: float, means: np.ndarray, products: np.ndarray, mean: np.ndarray, precision: np.ndarray, shape: float, scale: float) -> tuple:
+    """(means, precision, shape, scale) of a Normal-Inverse-Gamma posterior from centred products (response last).
+
+    Solved for the distance from the prior's mean; where one predictor is constant, with the others about their
+    means, so that an offset of predictors or response costs no digits.  The scale is a sum of squares: the
+    residuals' own and the prior's, never a difference of large numbers."""
+    k = len(mean)
+    cross, centre = products[:k, :k], means[:k]
+    drift = means[k] - centre @ mean
+    to_y = products[:k, k] - cross @ mean
+    left = products[k, k] - 2 * mean @ products[:k, k] + mean @ cross @ mean
+    turn, fixed = np.eye(k), [i for i in range(k) if cross[i, i] == 0 and centre[i] != 0]
+    if fixed:
+        i = fixed[0]
+        turn[i] = np.where(np.arange(k) == i, 1.0, -centre / centre[i])
+    seen = turn.T @ centre  # the mean of each turned predictor: 0 but for the constant one
+    if fixed:
+        seen = np.where(np.arange(k) == fixed[0], centre[fixed[0]], 0.0)
+    prior = turn.T @ precision @ turn
+    g = np.linalg.solve(prior + cross + n * np.outer(seen, seen), to_y + n * drift * seen)
+    about = n * (drift - seen @ g) ** 2 + max(left - 2 * g @ to_y + g @ cross @ g, 0.0)
+    post = precision + cross + n * np.outer(centre, centre)
+    return mean + turn @ g, post, shape + n / 2, scale + 0.5 * (about + g @ prior @ g)
+
+
 def nig_posterior(sums: DataFrame, k: int, mean: np.ndarray, precision: np.ndarray, shape: float, scale: float, by: str = "series_id") -> DataFrame:
     """Posterior of a Normal-Inverse-Gamma regression from :func:`gaussian_sums` with ``k`` predictors.
 
@@ -114,19 +139,14 @@ def nig_posterior(sums: DataFrame, k: int, mean: np.ndarray, precision: np.ndarr
     """
 
     def run(batches):
+        upper = np.triu_indices(k + 1)
         for pdf in batches:
             out = []
             for _, r in pdf.iterrows():
-                xx = np.zeros((k, k))
-                for i in range(k):
-                    for j in range(i, k):
-                        xx[i, j] = xx[j, i] = r[f"x{i}x{j}"]
-                xy = np.array([r[f"x{i}y"] for i in range(k)])
-                post = precision + xx
-                mu = np.linalg.solve(post, precision @ mean + xy)
-                rss = r["yy"] - 2 * mu @ xy + mu @ xx @ mu
-                d = mu - mean
-                out.append((r[by], mu.tolist(), post.ravel().tolist(), shape + r["n"] / 2, scale + 0.5 * (rss + d @ precision @ d)))
+                products = np.zeros((k + 1, k + 1))
+                products[upper] = products[upper[::-1]] = r["products"]
+                coef, post, a, b = nig_solve(r["n"], np.asarray(r["means"]), products, mean, precision, shape, scale)
+                out.append((r[by], coef.tolist(), post.ravel().tolist(), a, b))
             yield pd.DataFrame(out, columns=[by, "coef", "prec", "shape", "scale"])
 
     return sums.mapInPandas(run, f"{by} string, coef array<double>, prec array<double>, shape double, scale double")

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import densities, special
+from ..functions.moments import mean_of, products_of
 
 
 class ParameterError(ValueError):
@@ -484,13 +485,14 @@ class Model:
         return out
 
     def gaussian_stats(self, bound: DataFrame) -> DataFrame:
-        """n, XᵀX and Xᵀy and yᵀy of each likelihood for each dataset, as one array ``s<i>``; partial
-        sums are made before anything is shuffled."""
+        """n of each dataset and, for each likelihood, the means ``m<i>`` of the design's columns but the 1, then
+        of the response, and their centred products ``s<i>`` (upper triangle); partial ones are made before
+        anything is shuffled."""
         aggs = [F.count("*").alias("n")]
         for i, x in enumerate(self.likelihoods):
-            cols = [F.lit(1.0) if c is None else F.col(c) if k is None else F.element_at(F.col(c), k + 1) for c, _, k in self.design(x)]
+            cols = [F.col(c) if k is None else F.element_at(F.col(c), k + 1) for c, _, k in self.design(x) if c is not None]
             cols.append(F.col(x.key))
-            aggs.append(F.array(*[F.sum(cols[a] * cols[b]) for a in range(len(cols)) for b in range(a, len(cols))]).alias(f"s{i}"))
+            aggs += [F.array(*[mean_of(c) for c in cols]).alias(f"m{i}"), F.array(*products_of(cols)).alias(f"s{i}")]
         return bound.groupBy("dataset_id").agg(*aggs)
 
 

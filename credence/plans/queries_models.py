@@ -204,8 +204,9 @@ def batch_bind_validation(spark, sf):
 def gaussian_sufficient_stats(spark, sf):
     m = regression_model()
     s = m.gaussian_stats(m.bind(_lines(spark, sf), strict=False))
-    at = lambda k, n: F.round(F.element_at("s0", k), 4).alias(n)  # noqa: E731  order: 11, 1x, 1y, xx, xy, yy
-    return s.select("dataset_id", "n", at(2, "sx"), at(4, "sxx"), at(5, "sxy"), at(6, "syy"))
+    (mx, my), centred, n = (F.get("m0", F.lit(k)) for k in (0, 1)), [F.get("s0", F.lit(k)) for k in range(3)], F.col("n")  # order: xx, xy, yy
+    raw = [c + n * a * b for c, a, b in zip(centred, (mx, mx, my), (mx, my, my))]
+    return s.select("dataset_id", "n", F.round(n * mx, 4).alias("sx"), *[F.round(c, 4).alias(name) for c, name in zip(raw, ("sxx", "sxy", "syy"))])
 
 
 @query(f"SELECT (i % 3)::VARCHAR AS dataset_id, (i // 3) / 10.0::DOUBLE AS x, round({O.phi_inv(O.uniform(15, 'i'))}, 6) AS y FROM (SELECT unnest(range(60)) AS i)")
