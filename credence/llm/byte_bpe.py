@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ from .common import columns, keep
 KNOWN, KNOWN_BYTES = 60_000, 48
 #: Bytes of a word beyond which merges come from a heap.
 HEAP_BYTES = 100
-#: Rare words that a task remembers before it starts again.
-MEMO = 300_000
+#: Rare words that a worker remembers before it starts again (about 200 bytes each).
+MEMO = 800_000
 #: Maps of a literal table.
 BUCKETS = 1 << 16
 LATIN = "ISO-8859-1"
@@ -226,6 +227,42 @@ def known_words(docs: DataFrame, text: str, patterns: tuple[str, str, str], rank
     return {r.word: r.ids for r in chosen.select("word", ids.alias("ids")).where(F.size("ids") > 1).collect()}
 
 
+#: Of a Python worker: the run that it works for, and the ids (packed) of the words it has met.
+_memo: dict = {}
+
+
+class _Assembly:
+    """What a task does with the words of its texts.  A class of this module, so that workers share ``_memo``."""
+
+    def __init__(self, shared):
+        self.shared, self.name = shared, uuid.uuid4().hex
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = self.shared.value
+
+        def begin() -> None:
+            _memo.clear()
+            _memo.update(of=self.name, ids={w: np.array(ids, "<i4").tobytes() for w, ids in known.items()})
+
+        if _memo.get("of") != self.name:
+            begin()
+
+        def rare(word: str) -> bytes:
+            if len(_memo["ids"]) >= MEMO + len(known):
+                begin()
+            got = _memo["ids"][word] = np.array(merged(word.encode(), ranks), "<i4").tobytes()
+            return got
+
+        for batch in batches:
+            words, ends, out = batch.column("words"), [0], []
+            for i in range(batch.num_rows):  # a text's words at a time
+                find = _memo["ids"].get
+                out.append(b"".join([find(w) or rare(w) for w in words.slice(i, 1).flatten().to_numpy(zero_copy_only=False)]))
+                ends.append(ends[-1] + len(out[-1]) // 4)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4")))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, pa.array(out, pa.binary())], ["key", "ids", "packed"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``ids`` (array of int) and ``packed`` (the same as little-endian unsigned 32-bit numbers) of every whole text.
 
@@ -240,31 +277,9 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
     known = {piece.decode(): [rank] for piece, rank in ranks.items() if _is_text(piece)} | known_words(docs, text, patterns, ranks)
     rows = columns(docs, key, text).toDF("key", "text").select("key", "text", words_of(F.col("text"), patterns).alias("words"))
 
-    shared = spark.sparkContext.broadcast((known, ranks))
-
-    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ranks = shared.value
-        memo: dict[str, list[int]] = {}
-
-        def rare(word: str) -> list[int]:
-            if len(memo) >= MEMO:
-                memo.clear()
-            got = memo[word] = merged(word.encode(), ranks)
-            return got
-
-        for batch in batches:
-            words, ends, out = batch.column("words"), [0], [np.zeros(0, np.int32)]
-            for i in range(batch.num_rows):  # a text's words at a time
-                mine: list[int] = []
-                for word in words.slice(i, 1).flatten().to_pylist():
-                    mine += known.get(word) or memo.get(word) or rare(word)
-                out.append(np.array(mine, "<i4"))
-                ends.append(ends[-1] + len(mine))
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out)))
-            yield pa.RecordBatch.from_arrays([batch.column("key"), ids, pa.array([x.tobytes() for x in out[1:]], pa.binary())], ["key", "ids", "packed"])
-
+    work = _Assembly(spark.sparkContext.broadcast((known, ranks)))
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.select("key", "words").mapInArrow(put_together, f"key {kind}, ids array<int>, packed binary").withColumnRenamed("key", key)
+    return rows.select("key", "words").mapInArrow(lambda batches: work(batches), f"key {kind}, ids array<int>, packed binary").withColumnRenamed("key", key)
 
 
 def _is_text(piece: bytes) -> bool:
