@@ -26,8 +26,9 @@ def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
     name = "row_key"
     while name in docs.columns:
         name += "_"
-    marked = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("-")) for c in docs.columns]
-    return docs.select("*", F.md5(F.concat_ws("\0", *marked)).alias(name)), name
+    # JSON quotes what a value holds, so that no two rows are spelled alike; a null has a spelling of its own
+    row = F.to_json(F.struct(*[docs[c] for c in docs.columns]), {"ignoreNullFields": "false"})
+    return docs.select("*", F.md5(row.cast("binary")).alias(name)), name
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
 """Balanced label propagation over groups of linked documents, with DataFrame operations only.
 
-Links join documents with equal texts.  Labels are shards.  In each round a group's members look
-at the labels of their neighbours and ask to move to the most common label that has room; requests
-are granted in order of gain as long as the shard's quota lasts.  Nothing is ever paired: neighbour
-labels are counts per (group, label), and members that share a group and a hash part form one
-weighted cell, so a group that holds a third of all rows is at most ``PARTS`` rows here.
+Links join documents with equal texts.  Labels are shards.  In each round a group's members ask to move
+to the label that most of them have; which of equally common ones is drawn anew for each round.  Shards
+are full from the start, so moves are exchanges: of the requests from u to v as many rows go as ask to go
+from v to u, in order of gain, and what room v has left is shared among those that ask beyond that.
+Rounds go on until several in a row move nothing.  Nothing is ever paired: neighbour labels are counts
+per (group, label), and members that share a group and a hash part form one weighted cell, so a group
+that holds a third of all rows is at most ``PARTS`` rows here.
 """
 
 from __future__ import annotations
@@ -16,8 +18,10 @@ from .common import columns, forget, keep
 
 #: Hash parts of a group; a multiple of every useful shard count, and the bound on a group's cells.
 PARTS = 512
-#: Priority steps of a shard's queue of requests: gain classes times hash steps.
-GAIN_STEPS, HASH_STEPS = 16, 256
+#: Priority steps of the queue between two shards: gain classes times hash steps.
+GAIN_STEPS, HASH_STEPS = 16, 64
+#: Rounds without a move, each with choices of its own, after which no move is taken to gain.
+QUIET = 3
 
 
 def _at(values: list[int], index: Column) -> Column:
@@ -25,58 +29,70 @@ def _at(values: list[int], index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), (index + 1).cast("int"))
 
 
+def _granted(asked: DataFrame, room: list[int]) -> DataFrame:
+    """(label, target, queue) of the requests that are granted; at most shards² * GAIN_STEPS * HASH_STEPS rows are compared."""
+    waiting = asked.where(F.col("target") != F.col("label")).groupBy("label", "target", "queue").agg(F.sum("n").alias("want"))
+    flows = waiting.groupBy("label", "target").agg(F.sum("want").alias("out"))
+    back = flows.select(F.col("label").alias("target"), F.col("target").alias("label"), F.col("out").alias("back"))
+    flows = flows.join(back, ["label", "target"], "left").withColumn("back", F.coalesce("back", F.lit(0))).withColumn("over", F.greatest(F.col("out") - F.col("back"), F.lit(0)))
+    # room goes to those that ask beyond what is exchanged, in proportion and rounded to a sum of at most the room
+    upto = F.sum("over").over(Window.partitionBy("target").orderBy("label").rowsBetween(Window.unboundedPreceding, 0))
+    every = F.greatest(F.sum("over").over(Window.partitionBy("target")), F.lit(1))
+    flows = flows.withColumn("upto", upto).withColumn("every", every).withColumn("room", F.least(_at(room, F.col("target")), F.col("every")))
+    part = lambda x: F.floor(x.cast("decimal(20,0)") * F.col("room") / F.col("every")).cast("long")
+    share = part(F.col("upto")) - part(F.col("upto") - F.col("over"))
+    flows = flows.select("label", "target", (F.least("out", "back") + share).alias("most"))
+    before = Window.partitionBy("label", "target").orderBy("queue").rowsBetween(Window.unboundedPreceding, 0)
+    return waiting.withColumn("sofar", F.sum("want").over(before)).join(flows, ["label", "target"]).where("sofar <= most").select("label", "target", "queue", F.lit(1).alias("granted"))
+
+
 def _propagate(cells: DataFrame, quota: list[int], rounds: int) -> tuple[DataFrame, list[int]]:
-    """Labels of the cells ``(link, part, n, label)`` after at most ``rounds`` rounds, and the load of each shard."""
+    """Labels of the cells ``(link, part, n, label)`` after the rounds, and the load of each shard."""
     n_shards = len(quota)
 
-    def load_of(df: DataFrame) -> tuple[list[int], int]:
-        got = df.groupBy("label").agg(F.sum("n").alias("n"), F.sum(F.col("moved") * F.col("n")).alias("m")).collect()
+    def load_of(df: DataFrame) -> tuple[list[int], int, int]:
+        got = df.groupBy("label").agg(F.sum("n").alias("n"), F.sum("asked").alias("a"), F.sum("moved").alias("m")).collect()
         load = [0] * n_shards
         for r in got:
             load[r.label] = r.n
-        return load, sum(r.m for r in got)
+        return load, sum(r.a for r in got), sum(r.m for r in got)
 
-    load, _ = load_of(cells)
+    load, _, _ = load_of(cells)
+    quiet = 0
     for step in range(rounds):
         room = [max(0, q - x) for q, x in zip(quota, load)]
-        roomy = [s for s in range(n_shards) if room[s] > 0]
-        if not roomy:
-            break
         of_group = Window.partitionBy("link")
-        tie = F.xxhash64("link", "label")
+        drawn = F.xxhash64("link", "label", F.lit(step))
         asked = (
             cells.withColumn("votes", F.sum("n").over(Window.partitionBy("link", "label")))
             .withColumn("total", F.sum("n").over(of_group))
-            .withColumn("rank", F.struct("votes", tie.alias("tie"), "label"))
-            .withColumn("best", F.max(F.when(_at(room, F.col("label")) > 0, F.col("rank"))).over(of_group))
-            .withColumn("spare", _at(roomy, F.pmod(F.xxhash64("link", F.lit(step)), F.lit(len(roomy)))).cast("int"))
-            .withColumn("target", F.when(F.col("best").isNull(), F.col("spare")).when(F.col("best") > F.col("rank"), F.col("best.label")).otherwise(F.col("label")))
-            .withColumn("gain", F.coalesce(F.col("best.votes"), F.lit(0)) / F.col("total"))
+            .withColumn("best", F.max(F.struct("votes", drawn.alias("drawn"), "label")).over(of_group))
+            .withColumn("target", F.col("best.label"))
+            .withColumn("gain", F.col("best.votes") / F.col("total"))
             .withColumn("queue", F.floor((1 - F.col("gain")) * (GAIN_STEPS - 1)).cast("int") * HASH_STEPS + F.pmod(F.xxhash64("link", "part", F.lit(step)), F.lit(HASH_STEPS)).cast("int"))
         )
-        waiting = asked.where(F.col("target") != F.col("label")).groupBy("target", "queue").agg(F.sum("n").alias("want"))
-        before = Window.partitionBy("target").orderBy("queue").rowsBetween(Window.unboundedPreceding, 0)
-        # at most shards * GAIN_STEPS * HASH_STEPS rows, whatever the input
-        granted = waiting.withColumn("upto", F.sum("want").over(before)).where(F.col("upto") <= _at(room, F.col("target"))).select("target", "queue", F.lit(1).alias("granted"))
-        if n_shards <= 64:
+        granted = _granted(asked, room)
+        if n_shards <= 16:
             granted = F.broadcast(granted)
-        moved = asked.join(granted, ["target", "queue"], "left").withColumn("go", (F.col("target") != F.col("label")) & F.col("granted").isNotNull())
-        new = keep(moved.select("link", "part", "n", F.when(F.col("go"), F.col("target")).otherwise(F.col("label")).cast("int").alias("label"), F.col("go").cast("int").alias("moved")), "cells")
+        moved = asked.join(granted, ["label", "target", "queue"], "left").withColumn("go", F.col("granted").isNotNull())
+        new = keep(moved.select("link", "part", "n", F.when(F.col("go"), F.col("target")).otherwise(F.col("label")).cast("int").alias("label"), (F.col("target") != F.col("label")).cast("int").alias("asked"), F.col("go").cast("int").alias("moved")), "cells")
         forget(cells)
         cells = new
-        load, went = load_of(cells)
-        if went == 0:
+        load, asks, went = load_of(cells)
+        quiet = 0 if went else quiet + 1
+        if quiet == QUIET or asks == went:  # what asked has moved, so that every group is in one shard, or none gains
             break
     return cells, load
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int = 10) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", text: str = "text", rounds: int = 100) -> DataFrame:
     """Every row of ``docs`` in one of ``n_shards`` shards whose row counts differ by one at most.
 
     Returns key, size (UTF-8 bytes plus 1), text_crc32, law ('rows'), shard, slot (gapless from 0
     within a shard), grown_shard (null: this law has none) and linked (rows that share the text).
 
-    Linked documents share a shard as far as the quotas allow; documents without a link are equally
+    Linked documents share a shard as far as the quotas allow, by exchanges until none gains (``rounds`` is
+    there to end a run that would never be quiet); documents without a link are equally
     good anywhere and fill what room is left.  Null texts have size 1, checksum 0 and no link; empty
     texts are equal texts.  Repeated rows are documents of their own.  An empty table gives an empty
     result, and columns other than ``key`` and ``text`` are not read.
@@ -88,15 +104,15 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", te
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"),
         F.unhex(F.sha2("text", 256)).alias("link"),
-        F.pmod(F.xxhash64("doc_id", F.lit("part")), F.lit(PARTS)).cast("int").alias("part"),
-    )
+        F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("salt"),  # spreads rows without an id
+    ).withColumn("part", F.pmod(F.xxhash64("doc_id", "salt", F.lit("part")), F.lit(PARTS)).cast("int"))
     rows = keep(rows, "rows")
     total = rows.count()
     quota = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     cells = (
         rows.where("link is not null").groupBy("link", "part").agg(F.count("*").alias("n"))
         .withColumn("linked", F.sum("n").over(Window.partitionBy("link"))).where("linked > 1")
-        .select("link", "part", "n", F.pmod("part", F.lit(n_shards)).cast("int").alias("label"), F.lit(0).alias("moved"))
+        .select("link", "part", "n", F.pmod("part", F.lit(n_shards)).cast("int").alias("label"), F.lit(0).alias("asked"), F.lit(0).alias("moved"))
     )
     cells, load = _propagate(keep(cells, "cells"), quota, rounds)
 
@@ -105,7 +121,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, key: str = "doc_id", te
     placed = (
         rows.join(cells.select("link", "part", "label"), ["link", "part"], "left")
         .withColumn("want", F.coalesce("label", F.lit(-1)))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int"))
+        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "salt", "text_crc32", F.lit("slot")), F.lit(buckets)).cast("int"))
     )
     placed = placed.withColumn("rank", F.row_number().over(Window.partitionBy("want", "bucket").orderBy("doc_id", "text_crc32", "size")) - 1)
     sizes = placed.groupBy("want", "bucket").agg(F.count("*").alias("n"))

@@ -39,3 +39,13 @@ def test_ids_lose_no_text(spark, sf):
     assert once.count() == 5 and left(once) == list("abcd")
     clean = C.decontaminate(spark, docs, sf)
     assert clean.count() == 7 and left(clean) == list("abcd") and not any(r.text == item for r in clean.collect())
+
+
+def test_separators_within_values_lose_no_text(spark, sf):
+    """Rows whose columns, run together, would be spelled alike."""
+    one, two = (" ".join(f"{k}{i * i % 89}" for i in range(50)) for k in "ab")
+    rows = [(f"x\0={one}", two), ("x", f"{one}\0={two}"), (None, "-"), ("-", None), ("null", None), (None, None), ('a","b":"', "c"), ("a", '","b":"c')]
+    docs = spark.createDataFrame(rows, "source string, text string")
+    keyed, key = C._keyed(docs)
+    assert keyed.select(key).distinct().count() == len(rows)
+    assert C.near_duplicates(spark, docs, sf).count() == len(rows)

@@ -38,3 +38,63 @@ def test_groups_stay_together_and_large_ones_split(spark):
 def test_all_linked(spark):
     docs = spark.range(100).selectExpr("id as doc_id", "'same' as text")
     check(sharding.shard_documents(docs, 16).collect(), 16)
+
+
+def _cut(groups, of):
+    """Links between rows of a group that are not in the same shard."""
+    return sum(len(g) * (len(g) - 1) // 2 - sum(k * (k - 1) // 2 for k in collections.Counter(of[i] for i in g).values()) for g in groups)
+
+
+def test_exchanges_where_every_row_is_linked(spark):
+    """All rows in pairs: no shard has room, so only exchanges can bring pairs together."""
+    docs = spark.range(40_000).selectExpr("id as doc_id", "concat('t', id div 2) as text")
+    rows = sharding.shard_documents(docs, 16).collect()
+    check(rows, 16)
+    of = {r.doc_id: r.shard for r in rows}
+    assert _cut([(i, i + 1) for i in range(0, 40_000, 2)], of) <= 0.05 * 20_000
+
+
+def _best(sizes, quota):
+    """The least number of links that an assignment within the quotas cuts, by trying all."""
+
+    def deal(k, n):
+        if n == 1:
+            yield (k,)
+            return
+        for a in range(k + 1):
+            for rest in deal(k - a, n - 1):
+                yield (a, *rest)
+
+    reached = {tuple([0] * len(quota)): 0}
+    for size in sizes:
+        then = {}
+        for load, kept in reached.items():
+            for part in deal(size, len(quota)):
+                new = tuple(a + b for a, b in zip(load, part))
+                if all(a <= q for a, q in zip(new, quota)):
+                    then[new] = max(then.get(new, -1), kept + sum(k * (k - 1) // 2 for k in part))
+        reached = then
+    return sum(s * (s - 1) // 2 for s in sizes) - max(reached.values())
+
+
+def test_cut_links_against_the_best_assignment(spark):
+    """Small tables over three shards: all groups of one size, and mixed ones with and without single rows."""
+    ours = least = dealt = 0
+    for sizes in ([2] * 30, [3] * 20, [2] * 12 + [4] * 6 + [1] * 12, [6] * 5 + [1] * 30, [5] * 12):
+        n, groups, rows = sum(sizes), [], []
+        for g, size in enumerate(sizes):
+            groups.append(tuple(range(len(rows), len(rows) + size)))
+            rows += [(len(rows) + k, f"group {g}") for k in range(size)]
+        got = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()
+        check(got, 3)
+        quota = [n // 3 + (s < n % 3) for s in range(3)]
+        ours += _cut(groups, {r.doc_id: r.shard for r in got})
+        least += _best(sizes, quota)
+        dealt += _cut(groups, {i: i % 3 for i in range(n)})
+    assert least <= ours <= least + 0.25 * (dealt - least), (least, ours, dealt)
+
+
+def test_rows_without_an_id_are_spread(spark):
+    docs = spark.range(3000).selectExpr("cast(null as long) as doc_id", "'same' as text").repartition(4)
+    rows = sharding.shard_documents(docs, 4).collect()
+    check(rows, 4)
