@@ -7,9 +7,12 @@ of rows, and a task steps the chains of many datasets together, as arrays.  Rand
 
 from __future__ import annotations
 
+import json
 import math
+import os
 import zlib
 from collections.abc import Iterator
+from multiprocessing.connection import Client, Listener
 
 import numpy as np
 import pandas as pd
@@ -18,8 +21,13 @@ from pyspark.sql import functions as F
 
 from ..plans.model import DISCRETE, PRIORS, InferenceError, Model
 
-#: Values of a dataset (rows times columns) that one chain may hold when the likelihood needs rows.
-MOST_VALUES = 50_000_000
+#: Values of a dataset (different rows times columns) that one task holds where the likelihood needs rows;
+#: a larger dataset stays where its blocks are, and tasks exchange sums.
+TASK_VALUES = 5_000_000
+#: Blocks that rows are dealt into: sums are made in a block, then over blocks.
+BLOCKS = 64
+#: Rows times chains that are worked on at once.
+AT_ONCE = 1 << 20
 MOST_ENERGY = 1000.0
 #: Chains that a task steps together, and numbers that their draws or sums may take.
 TOGETHER, MOST_NUMBERS = 256, 4_000_000
@@ -35,7 +43,16 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
 
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Γ of positive numbers: Stirling's series from 8 on, steps down from there."""
+    x = np.array(x, float)
+    down = np.zeros_like(x)
+    while (low := x < 8).any():
+        down = np.where(low, down + np.log(np.where(low, x, 1)), down)
+        x = np.where(low, x + 1, x)
+    y = 1 / (x * x)
+    series = (1 / 12 - y * (1 / 360 - y * (1 / 1260 - y * (1 / 1680 - y / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + series - down
 
 
 def _softplus(x):
@@ -46,26 +63,25 @@ def _sigmoid(x):
     return 0.5 * (1 + np.tanh(0.5 * np.asarray(x)))
 
 
-def _likelihood(kind: str, y, eta, scale, weight):
-    """Log density summed over rows of these weights, and its gradients by eta and by the scale."""
+def _likelihood(kind: str, y, eta, scale):
+    """Log density of each row (last axis) for each chain, and its derivatives by eta and by the scale (a column)."""
     if kind in ("normal", "log_normal"):
         v = np.log(np.maximum(y, 1e-300)) if kind == "log_normal" else y
-        z, n = (v - eta) / scale, weight.sum()
-        squares = (weight * z) @ z
-        base = -0.5 * squares - n * (math.log(scale) + 0.5 * math.log(2 * math.pi)) - (weight @ v if kind == "log_normal" else 0)
-        return base, weight * z / scale, (squares - n) / scale
+        z = (v - eta) / scale
+        base = -0.5 * z * z - (np.log(scale) + 0.5 * math.log(2 * math.pi)) - (v if kind == "log_normal" else 0)
+        return base, z / scale, (z * z - 1) / scale
     if kind == "bernoulli":
-        return float(weight @ (y * eta - _softplus(eta))), weight * (y - _sigmoid(eta)), 0.0
+        return y * eta - _softplus(eta), y - _sigmoid(eta), None
     mu = np.exp(np.minimum(eta, 700))
     if kind == "poisson":
-        return float(weight @ (y * eta - mu - _lgamma(y + 1))), weight * (y - mu), 0.0
+        return y * eta - mu - _lgamma(y + 1), y - mu, None
     if kind == "exponential":
-        return float(weight @ (eta - y * mu)), weight * (1 - y * mu), 0.0
+        return eta - y * mu, 1 - y * mu, None
     a = scale
-    both = np.logaddexp(math.log(a), eta)  # log(a + mu) wherever mu itself would overflow
-    value = _lgamma(y + a) - math.lgamma(a) - _lgamma(y + 1) + a * (math.log(a) - both) + y * (eta - both)
-    by_a = digamma(y + a) - digamma(np.array(a)) + math.log(a) + 1 - both - (y + a) / (a + mu)
-    return float(weight @ value), weight * (a * (y - mu) / (a + mu)), float(weight @ by_a)
+    both = np.logaddexp(np.log(a), eta)  # log(a + mu) wherever mu itself would overflow
+    value = _lgamma(y + a) - _lgamma(a) - _lgamma(y + 1) + a * (np.log(a) - both) + y * (eta - both)
+    by_a = digamma(y + a) - digamma(a) + np.log(a) + 1 - both - (y + a) / (a + mu)
+    return value, a * (y - mu) / (a + mu), by_a
 
 
 def _centred(n, *sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,10 +100,15 @@ class Target:
 
     ``rows`` are of one dataset, and ``weight`` tells how often each occurs (once without it); ``stats``
     (n, means and centred products for each likelihood, or n and plain sums) are of one dataset, or of one
-    for each chain."""
-
-    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None):
-        self.model, self.rows, self.weight = model, rows, weight
+    for each chain.  Rows may be in blocks that begin at ``starts``; where other tasks hold more of the
+    dataset's blocks, ``gather`` turns the own blocks' sums into the sums of all."""
+
+    def __init__(self, model: Model, rows: dict[str, np.ndarray] | None = None, stats: list | None = None, weight: np.ndarray | None = None, starts: np.ndarray | None = None, gather=None):
+        self.model, self.rows = model, rows
+        n = len(next(iter(rows.values()))) if rows else 0
+        self.weight = np.ones(n) if weight is None else weight
+        self.starts = np.zeros(1 if n else 0, int) if starts is None else starts
+        self.gather = gather
         self.stats = stats and [_centred(*x) for x in stats]
         self.places = []
         for like in model.likelihoods if stats else []:
@@ -160,16 +181,59 @@ class Target:
         return value, [by_coef[:, k] for k in self.places[i]], rss / scale**3 - n / scale
 
     def _from_rows(self, like, x: dict, scale: np.ndarray | None, chains: int):
-        y = self.rows[like.key]
-        weight = np.ones(len(y)) if self.weight is None else self.weight
-        each = []
-        for b in range(chains):
-            eta = np.zeros(len(y))
-            for kind, name, column, c in like.terms:
-                eta += c if kind == "const" else x[name][b] if kind == "param" else self.rows[column] @ x[name][b] if kind == "matvec" else self.rows[column] * x[name][b]
-            value, by_eta, by_scale = _likelihood(like.kind, y, eta, None if scale is None else scale[b], weight)
-            each.append((value, [0.0 if kind == "const" else by_eta.sum() if kind == "param" else by_eta @ self.rows[column] for kind, _, column, _ in like.terms], by_scale))
-        return np.array([v for v, _, _ in each]), [np.array(g) for g in zip(*[g for _, g, _ in each])], np.array([s for _, _, s in each])
+        """Sums over the blocks' rows, then over blocks in their order: the same numbers however blocks are dealt."""
+        width = 1 + sum(1 if kind != "matvec" else self.rows[column].shape[1] for kind, _, column, _ in like.terms if kind != "const") + (scale is not None)
+        parts = np.zeros((len(self.starts), chains, width))
+        bounds = [*self.starts.tolist(), len(self.weight)]
+        first = 0
+        while first < len(self.starts):  # as many blocks at a time as keep arrays small
+            last = first + 1
+            while last < len(self.starts) and (bounds[last + 1] - bounds[first]) * chains <= AT_ONCE:
+                last += 1
+            rows = slice(bounds[first], bounds[last])
+            self._blocks(like, x, scale, chains, rows, self.starts[first:last] - bounds[first], parts[first:last])
+            first = last
+        total = parts.sum(0) if self.gather is None else self.gather(parts)
+        pulls, k = [], 1
+        for kind, _, column, _ in like.terms:
+            if kind == "const":
+                pulls.append(0.0)
+                continue
+            size = self.rows[column].shape[1] if kind == "matvec" else 1
+            pulls.append(total[:, k : k + size] if kind == "matvec" else total[:, k])
+            k += size
+        return total[:, 0], pulls, total[:, -1] if scale is not None else np.zeros(chains)
+
+    def _blocks(self, like, x: dict, scale, chains: int, rows: slice, starts: np.ndarray, out: np.ndarray) -> None:
+        y, weight = self.rows[like.key][rows], self.weight[rows]
+        eta = np.zeros((chains, len(y)))
+        for kind, name, column, c in like.terms:
+            if kind == "const":
+                eta += c
+            elif kind == "param":
+                eta += x[name][:, None]
+            elif kind == "matvec":
+                eta += np.einsum("nk,ck->cn", self.rows[column][rows], x[name])
+            else:
+                eta += x[name][:, None] * self.rows[column][rows]
+        value, by_eta, by_scale = _likelihood(like.kind, y, eta, None if scale is None else scale[:, None])
+        summed = lambda v: np.add.reduceat(np.ascontiguousarray(v * weight), starts, 1).T  # noqa: E731  (block, chain)
+        out[:, :, 0], k = summed(value), 1
+        by_eta = by_eta * np.ones_like(eta)
+        for kind, _, column, _ in like.terms:
+            if kind == "param":
+                out[:, :, k] = summed(by_eta)
+                k += 1
+            elif kind == "coef":
+                out[:, :, k] = summed(by_eta * self.rows[column][rows])
+                k += 1
+            elif kind == "matvec":
+                size = self.rows[column].shape[1]
+                for j in range(size):
+                    out[:, :, k + j] = summed(by_eta * self.rows[column][rows, j])
+                k += size
+        if scale is not None:
+            out[:, :, -1] = summed(by_scale)
 
     def __call__(self, raw: np.ndarray, at: np.ndarray | slice = slice(None)) -> tuple:
         """Density and gradient of the chains ``at`` (all), of which ``raw`` has the rows; one row alone gives a number."""
@@ -498,11 +562,14 @@ def check_options(chains, draws, warmup, step_size, target_accept, max_tree_dept
             raise InferenceError(what)
 
 
-def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=500, seed=42, step_size=0.0, target_accept=0.8, sampler="nuts", max_tree_depth=10, num_leapfrog_steps=15, shared: DataFrame | None = None, what="draws", strict=False) -> DataFrame:
+def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=500, seed=42, step_size=0.0, target_accept=0.8, sampler="nuts", max_tree_depth=10, num_leapfrog_steps=15, shared: DataFrame | None = None, what="draws", strict=False, task_values=TASK_VALUES, most_tasks: int | None = None) -> DataFrame:
     """Draws (or, with ``what="transitions"``, telemetry) of every dataset of ``data`` and chain.
 
-    Gaussian models aggregate first; other likelihoods send a dataset's different rows, with how often
-    each occurs, to each of its chains, and refuse one of more than MOST_VALUES values.
+    Gaussian models aggregate first.  Other likelihoods keep a dataset's different rows, with how often each
+    occurs: up to ``task_values`` values they go to each of its chains; a larger dataset is dealt over the tasks
+    of a barrier stage (``most_tasks`` at most, and no more than the cluster runs at once), which step all chains
+    together and exchange the sums of their blocks at each step.  Both add up the same blocks in the same order,
+    so draws depend neither on the way nor on the number of tasks.  A barrier stage that loses a task is run again.
     """
     check_options(chains, draws, warmup, step_size, target_accept, max_tree_depth, num_leapfrog_steps)
     if sampler not in ("nuts", "hmc"):
@@ -555,17 +622,93 @@ def sample(model: Model, data: DataFrame | None, chains=4, draws=1000, warmup=50
 
         tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         return stats.repartition(tasks, "dataset_id", "chain").mapInPandas(from_sums, schema)
-    width = len(model.required_keys) - len(model.matrix_keys) + sum(model.matrix_keys.values())
-    bound = bound.groupBy("dataset_id", *model.required_keys).agg(F.count("*").alias("rows$n"))
-    largest = bound.groupBy("dataset_id").count().agg(F.max("count")).first()[0] or 0
-    if largest * width > MOST_VALUES:
-        raise InferenceError(f"a dataset of {largest} different rows is too large for one chain; only Gaussian likelihoods are summed first")
+    keys = [k for k in model.required_keys]
+    rows = bound.groupBy("dataset_id", *keys).agg(F.count("*").alias("rows$n")).withColumn("rows$block", F.pmod(F.xxhash64(*keys), F.lit(BLOCKS)).cast("int"))
+    width = len(keys) - len(model.matrix_keys) + sum(model.matrix_keys.values())
+    large = sorted(r["dataset_id"] for r in rows.groupBy("dataset_id").count().where(F.col("count") * width > task_values).collect())
 
     def from_rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = {k: np.stack(pdf[k].to_numpy()) if k in model.matrix_keys else pdf[k].to_numpy(float) for k in model.required_keys}
-        return emit([pdf["dataset_id"].iloc[0]], [int(pdf["chain"].iloc[0])], Target(model, rows, weight=pdf["rows$n"].to_numpy(float)))
+        held, weight, _, starts = arranged(model, pdf)
+        return emit([pdf["dataset_id"].iloc[0]], [int(pdf["chain"].iloc[0])], Target(model, held, weight=weight, starts=starts))
 
-    return bound.select("*", chain).groupBy("dataset_id", "chain").applyInPandas(from_rows, schema)
+    small = rows.where(~F.coalesce(F.col("dataset_id").isin(large), F.lit(False))) if large else rows
+    out = small.select("*", chain).groupBy("dataset_id", "chain").applyInPandas(from_rows, schema)
+    if not large:
+        return out
+
+    def in_step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """All chains of each large dataset, in every task at once; a task gives the draws of its share of chains."""
+        from pyspark import BarrierTaskContext
+
+        context = BarrierTaskContext.get()
+        mine, tasks = pd.concat([*batches, pd.DataFrame()]), len(context.getTaskInfos())
+        sums = Gather(context)
+        for dataset in large:
+            own = mine[mine["dataset_id"] == dataset] if len(mine) else mine
+            held, weight, blocks, starts = arranged(model, own)
+            target = Target(model, held, weight=weight, starts=starts, gather=sums.of(blocks))
+            got = emit([dataset] * chains, list(range(chains)), target)
+            yield got[got["chain"] % tasks == context.partitionId()]
+        sums.close()
+
+    # a barrier stage needs all its tasks at once; blocks don't outnumber them
+    tasks = max(1, min(BLOCKS, data.sparkSession.sparkContext.defaultParallelism, int(most_tasks or BLOCKS)))
+    spread = rows.where(F.col("dataset_id").isin(large)).repartition(tasks, "rows$block")
+    # draws are dealt out anew: a barrier stage can't be part of a union
+    return out.unionByName(spread.mapInPandas(in_step, schema, barrier=True).repartition(tasks, "dataset_id", "chain"))
+
+
+def arranged(model: Model, pdf: pd.DataFrame) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """A dataset's different rows in an order of their own (block, then values): columns, weights, blocks and where they begin."""
+    if not len(pdf):
+        none = {k: np.zeros((0, model.matrix_keys[k])) if k in model.matrix_keys else np.zeros(0) for k in model.required_keys}
+        return none, np.zeros(0), np.zeros(0, int), np.zeros(0, int)
+    rows = {k: np.stack(pdf[k].to_numpy()).astype(float) if k in model.matrix_keys else pdf[k].to_numpy(float) for k in model.required_keys}
+    block = pdf["rows$block"].to_numpy(int)
+    columns = [c for v in rows.values() for c in (v.T if v.ndim == 2 else [v])]
+    order = np.lexsort([*columns, block])
+    blocks, starts = np.unique(block[order], return_index=True)
+    return {k: np.ascontiguousarray(v[order]) for k, v in rows.items()}, pdf["rows$n"].to_numpy(float)[order], blocks, starts
+
+
+class Gather:
+    """Adds up the sums of all tasks' blocks, in the order of the blocks, and gives them to each task.
+
+    Tasks of a barrier stage tell each other where the first one listens and talk to it from then on: the
+    barrier's own ``allGather`` waits for a second each time.  A lost task ends the connections, with them the
+    other tasks, and Spark runs the stage again."""
+
+    def __init__(self, context):
+        self.first, others = context.partitionId() == 0, len(context.getTaskInfos()) - 1
+        if not self.first:
+            host, port, key = json.loads(context.allGather("")[0])
+            self.links = [Client((host, port), authkey=bytes.fromhex(key))]
+            return
+        key = os.urandom(16)
+        with Listener(("", 0), backlog=max(1, others), authkey=key) as listener:
+            host = context.getTaskInfos()[0].address.rsplit(":", 1)[0]
+            context.allGather(json.dumps([host, listener.address[1], key.hex()]))
+            self.links = [listener.accept() for _ in range(others)]
+
+    def of(self, blocks: np.ndarray):
+        """What adds up the blocks of one dataset, of which this task holds ``blocks``."""
+
+        def add(parts: np.ndarray) -> np.ndarray:
+            if not self.first:
+                self.links[0].send((blocks, parts))
+                return self.links[0].recv()
+            said = [(blocks, parts), *[link.recv() for link in self.links]]
+            order = np.argsort(np.concatenate([b for b, _ in said]), kind="stable")
+            total = np.concatenate([p for _, p in said])[order].sum(0)
+            for link in self.links:
+                link.send(total)
+            return total
+
+        return add
+
+    def close(self) -> None:
+        for link in self.links:
+            link.close()
 
 
 def sample_many(models: dict[str, tuple[Model, DataFrame]], **options) -> DataFrame:
