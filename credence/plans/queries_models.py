@@ -12,6 +12,7 @@ from ..functions import densities as L
 from ..functions.special import exponential, normal
 from ..operators import fits
 from ..operators import predictive as P
+from ..operators import quality as V
 from ..operators import samplers as H
 from ..operators import series as W
 from ..operators import structural as M
@@ -236,6 +237,46 @@ def nuts_regression(spark, sf):
     return S.diagnostics(draws, ["dataset_id", "param"])
 
 
+_EXACT = """s AS (SELECT l_returnflag AS dataset_id, count(*) + 1 AS n, sum(l_quantity / 10) AS sx, sum(pow(l_quantity / 10, 2)) + 1 AS sxx, sum(l_extendedprice / 10000) AS sy,
+    sum((l_quantity / 10) * (l_extendedprice / 10000)) AS sxy FROM lineitem GROUP BY ALL),
+  x AS (SELECT dataset_id, unnest(['alpha', 'beta']) AS param, unnest([(sxx * sy - sx * sxy) / (n * sxx - sx * sx), (n * sxy - sx * sy) / (n * sxx - sx * sx)]) AS exact_mean,
+    unnest([sqrt(sxx / (n * sxx - sx * sx)), sqrt(n / (n * sxx - sx * sx))]) AS exact_sd FROM s)"""
+
+
+def known_noise_model() -> Model:
+    """A regression whose posterior is known exactly: noise and priors of deviation 1."""
+    b = ModelBuilder()
+    b.normal_likelihood("y", b.normal_prior("alpha", 0, 1) + b.normal_prior("beta", 0, 1) * "x", 1.0, "y")
+    return b.compile()
+
+
+def _exact(spark, sf):
+    return V.exact_marginals(_lines(spark, sf), [F.lit(1.0), "x"], "y", ["alpha", "beta"])
+
+
+@query(f"WITH {_EXACT} SELECT dataset_id, param, round(exact_mean, 7) AS exact_mean, round(exact_sd, 9) AS exact_sd FROM x")
+def exact_marginals(spark, sf):
+    return _exact(spark, sf).select("dataset_id", "param", r("exact_mean", 7), r("exact_sd", 9))
+
+
+@query(f"""WITH {FIXED}, {_EXACT}, m AS (SELECT param, avg(v) AS mean, stddev_samp(v) AS std FROM (SELECT 'alpha' AS param, alpha AS v FROM d UNION ALL SELECT 'beta', beta FROM d) GROUP BY param),
+  e AS (SELECT dataset_id, count(*) AS params, sqrt(avg(pow(mean - exact_mean, 2))) AS err, sqrt(avg(pow((mean - exact_mean) / exact_sd, 2))) AS units, sqrt(avg(pow(std / exact_sd - 1, 2))) AS spread FROM m JOIN x USING (param) GROUP BY ALL)
+  SELECT dataset_id, params, round(err, 6) AS mean_rmse_vs_exact_posterior, round(units, 3) AS mean_rmse_exact_posterior_sd_units, round(spread, 3) AS sd_relative_rmse_vs_exact_posterior FROM e""")
+def posterior_errors(spark, sf):
+    summary = S.mean_std(_fixed_draws(spark), ["dataset_id", "param"]).drop("std").withColumnRenamed("std_sample", "std")
+    e = V.posterior_errors(summary, _exact(spark, sf))
+    return e.select("dataset_id", "params", r("mean_rmse_vs_exact_posterior"), r("mean_rmse_exact_posterior_sd_units", 3), r("sd_relative_rmse_vs_exact_posterior", 3))
+
+
+@query()
+def nuts_quality_gate(spark, sf):
+    """A verdict on the sampler's draws for each dataset, at 4 chains of 1000 draws after 500 of warm-up."""
+    rows, options = _lines(spark, sf), {"chains": 4, "draws": 1000, "warmup": 500}
+    told = S.transition_report(H.sample(known_noise_model(), rows, what="transitions", **options), ["dataset_id"])
+    diagnosed = S.diagnostics(H.sample(known_noise_model(), rows, **options), ["dataset_id", "param"])
+    return V.quality_gate(V.posterior_quality(diagnosed, _exact(spark, sf), told)).withColumn("failures", F.concat_ws(",", "failures"))
+
+
 @query()
 def hmc_regression(spark, sf):
     draws = H.sample(regression_model(), _lines(spark, sf), chains=2, draws=300, warmup=300, sampler="hmc").persist()
