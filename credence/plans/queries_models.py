@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +15,7 @@ from ..operators import samplers as H
 from ..operators import series as W
 from ..operators import structural as M
 from ..operators import summary as S
-from ..sources.tables import daily_revenue, regression_problem, table
+from ..sources.tables import daily_revenue, regression_problem, shared_folder, table
 from . import oracle as O  # noqa: E741
 from .model import Model, ModelBuilder
 from .queries_series import programs
@@ -373,8 +371,7 @@ def export_groups(spark, sf):
     """A fit written as Parquet groups and read again."""
     from pyspark.errors import AnalysisException
 
-    where = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="credence-")
-    path = f"{where.rstrip('/')}/fit-{np.random.default_rng().integers(1 << 60):x}"
+    path = f"{shared_folder(spark)}/fit-{np.random.default_rng().integers(1 << 60):x}"
     m, rows = regression_model(), _lines(spark, sf)
     draws = H.sample(m, rows, chains=2, draws=50, warmup=100)
     told = H.sample(m, rows, chains=2, draws=50, warmup=100, what="transitions")

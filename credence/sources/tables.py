@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -61,3 +63,13 @@ def regression_problem(spark: SparkSession, n: int, p: int, seed: int = 20260802
 
 
 __all__ = ["daily_revenue", "event_draws", "regression_problem", "series_csv", "study_series", "table", "uniform"]
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one on a single machine, else an error."""
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if where:
+        return where.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="credence-")
