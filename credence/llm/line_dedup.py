@@ -27,9 +27,14 @@ def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: F.regexp_like(x, F.lit(r"[^\x20\x09-\x0D]")))
 
 
+def twin(line: Column) -> Column:
+    """A second hash of a line: what comes first changes the state that its bytes meet, so both are 128 bits together."""
+    return F.xxhash64(F.lit("twin"), line)
+
+
 def hashed_lines(rows: DataFrame) -> DataFrame:
-    """(doc_id, body, lines) of each different document of ``rows`` (doc_id, body, text): hash and words of its lines, in order."""
-    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("hash"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
+    """(doc_id, body, lines) of each different document of ``rows`` (doc_id, body, text): two hashes and words of its lines, in order."""
+    lines = F.transform(_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("hash"), twin(x).alias("twin"), F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")).alias("n")))
     return rows.where("text is not null").select("doc_id", "body", lines.alias("lines")).dropDuplicates(["doc_id", "body"])
 
 
@@ -37,14 +42,20 @@ def windows(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, body, first, last, window, least, at) of each different window of ``docs`` (doc_id, body, lines), with
     its fingerprint ``least`` and the place of that; places count from 0."""
     lines = docs.select("doc_id", "body", F.posexplode("lines").alias("pos", "line"))
-    lines = lines.select("doc_id", "body", "pos", "line.hash", F.col("line.n").cast("long").alias("n"))
+    lines = lines.select("doc_id", "body", "pos", F.struct("line.hash", "line.twin").alias("hash"), F.col("line.n").cast("long").alias("n"))
     doc = Window.partitionBy("doc_id", "body")
     lines = lines.withColumn("upto", F.sum("n").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
     lines = lines.withColumn("before", F.col("upto") - F.col("n")).withColumn("total", F.sum("n").over(doc))
     # every line holds a word, so these are the lines of the shortest run with that many words
     lines = lines.withColumn("on", F.collect_list("hash").over(doc.orderBy("before").rangeBetween(0, words - 1)))
     lines = lines.withColumn("back", F.collect_list("hash").over(doc.orderBy("upto").rangeBetween(1 - words, 0)))
-    place = lambda run, first: F.struct(first.cast("int").alias("first"), (first + F.size(run) - 1).cast("int").alias("last"), F.xxhash64(run).alias("window"), F.array_min(run).alias("least"), (first + F.array_position(run, F.array_min(run)) - 1).cast("int").alias("at"))
+
+    def place(run: str, first: Column) -> Column:
+        hashes, same = F.col(run)["hash"], F.struct(F.xxhash64(F.col(run)["hash"]).alias("one"), F.xxhash64(F.col(run)["twin"]).alias("two"))
+        least = F.array_min(hashes)
+        at = (first + F.array_position(hashes, least) - 1).cast("int").alias("at")
+        return F.struct(first.cast("int").alias("first"), (first + F.size(run) - 1).cast("int").alias("last"), same.alias("window"), least.alias("least"), at)
+
     on = F.when(F.col("total") - F.col("before") >= words, place("on", F.col("pos")))
     back = F.when(F.col("upto") >= words, place("back", F.col("pos") - F.size("back") + 1))
     found = lines.select("doc_id", "body", F.explode(F.array_compact(F.array_distinct(F.array(on, back)))).alias("x"))
@@ -66,14 +77,15 @@ def repeated_runs(docs: DataFrame, words: int = WORDS) -> DataFrame:
 def dedup_lines(docs: DataFrame, words: int = WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, n_lines, n_removed and clean_text of every row.
 
-    Lines are compared as they are; lines of white space alone don't count as lines, and stay out of
+    Lines are compared by 128 bits of hashes, as whole texts are: of 10^12 different runs two would be taken
+    for one with a chance of about 10^-15.  Lines of white space alone don't count as lines, and stay out of
     clean_text where something was removed.  The first copy in the order of (key, text hash, place)
     stays, so every line that goes has an equal one before it.  Null texts have no lines and stay
     null; empty texts stay empty; texts without a repeat stay as they are.  Rows with the same key
     and text are one document: each has the same result.  An empty table gives an empty result;
     columns other than ``key`` and ``text`` are not read.
     """
-    rows = columns(docs, key, text).toDF("doc_id", "text").withColumn("body", F.xxhash64("text", F.length("text")))
+    rows = columns(docs, key, text).toDF("doc_id", "text").withColumn("body", F.unhex(F.md5(F.col("text").cast("binary"))))
     once = keep(hashed_lines(rows), "lines")
     runs = keep(repeated_runs(once, words), "runs")
     gone = runs.select("doc_id", "body", F.explode(F.sequence("first", "last")).alias("pos")).groupBy("doc_id", "body").agg(F.collect_set("pos").alias("gone"))

@@ -75,3 +75,11 @@ def test_other_copies_of_a_head_or_an_end(spark):
     for d, x in docs.items():
         kept = [y for k, y in enumerate(x) if (d, k) not in gone]
         assert out[d].n_removed == len(x) - len(kept) and out[d].clean_text.split("\n") == (kept or [""])
+
+
+def test_lines_that_share_one_hash_are_not_taken_for_equal(spark):
+    """Two documents whose lines agree in the first hash: only those that agree in the second too are repeats."""
+    kind = "doc_id long, body binary, lines array<struct<hash:long,twin:long,n:int>>"
+    lines = lambda twins: [(7 + i, t, 10) for i, t in enumerate(twins)]
+    docs = spark.createDataFrame([(1, b"a", lines([1, 2, 3, 4])), (2, b"b", lines([1, 2, 3, 4])), (3, b"c", lines([9, 8, 7, 6]))], kind)
+    assert {r.doc_id for r in line_dedup.repeated_runs(docs).collect()} == {2}
