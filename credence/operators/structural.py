@@ -1,8 +1,9 @@
 """Fitted series models: local level, seasonal, trend (Gibbs with forward filter, backward sampling),
 exact autoregression, and the hierarchy of means.
 
-One group is one (series, chain); what leaves it are variances and the last state.  Forecast paths
-are expressions over draws and steps with counter-based normals, so they need no group.
+A task steps the chains of many series together and reads them one after another from its sorted rows;
+what leaves it are variances and the last state.  Forecast paths are expressions over draws and steps
+with counter-based normals, so they need no group.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import normal, split_mix
 from ..plans.model import InferenceError
-from . import kalman
+from . import fields, kalman
 from .kalman import StateSpaceError
 from .series import hierarchy_sums
 
@@ -103,12 +104,18 @@ class LocalLevel:
     initial_variance: float = 100.0
 
     NAMES = ("process_variance", "observation_variance", "terminal_level")
-    LEAST = 2
 
     def check(self, y: np.ndarray) -> None:
         if np.isfinite(y).sum() < 2:
             raise StateSpaceError("a local level needs two observations")
 
+    def values(self, n: int) -> int:
+        return n
+
+    def run(self, ys, draws, warmup, thin, rngs):
+        # one number a step: plain arithmetic is as fast for one chain as arrays are for many
+        return [self.chain(y, draws, warmup, thin, rng) for y, rng in zip(ys, rngs)]
+
     def chain(self, y, draws, warmup, thin, rng):
         q, r = self.process_variance_prior.mode, self.observation_variance_prior.mode
         seen, out = ~np.isnan(y), []
@@ -121,8 +128,46 @@ class LocalLevel:
         return out
 
 
+class _TwoStates:
+    """Gibbs chains of models with two states a step, stepped together for many series.
+
+    A model gives its grid, field, priors, and the draw by filtering that takes over where its variances
+    lie too far apart for the field's digits (both draw from the same distribution)."""
+
+    def values(self, n: int) -> int:
+        """Numbers in one matrix of the field, by which batches are bounded."""
+        width, lead = self._layout()
+        return -(-(lead + n + 1) // width) * 4 * width * width
+
+    def run(self, ys, draws, warmup, thin, rngs):
+        """For each series the kept draws: variances and last states."""
+        grid = fields.Grid(ys, *self._layout())
+        field, priors = self._field(grid), self._priors()
+        variances = np.tile([p.mode for p in priors], (len(ys), 1))
+        counts = [(len(y), len(y), int((~np.isnan(y)).sum())) for y in ys]
+        out = [[] for _ in ys]
+        for i in range(warmup + draws * thin):
+            fit = variances.max(1) <= fields.MOST_RATIO * variances.min(1)
+            z = np.zeros((*grid.shape[:2], grid.size))
+            for e in np.flatnonzero(fit):
+                z[:, e] = grid.normals(e, rngs[e])
+            x = field.draw(np.where(fit[:, None], variances, 1.0), z) if fit.any() else z
+            for e in np.flatnonzero(~fit):
+                grid.put(x, e, self._filtered(ys[e], variances[e], rngs[e]))
+            squares = field.squares(x)
+            for e, rng in enumerate(rngs):
+                variances[e] = [p.draw(rng, n, s) for p, n, s in zip(priors, counts[e], squares[e].tolist())]
+                if i >= warmup and (i + 1 - warmup) % thin == 0:
+                    out[e].append((*variances[e].tolist(), *self._last(grid.places(x, e))))
+        return out
+
+    def _field(self, grid: fields.Grid) -> fields.Field:
+        start = self._system()
+        return fields.Field([*map(grid.move, self._moves()), grid.observe(self._observed())], *grid.base(*self._first(start.covariance, start.mean)))
+
+
 @dataclass(frozen=True)
-class LocalLinearTrend:
+class LocalLinearTrend(_TwoStates):
     level_variance_prior: InverseGammaPrior
     slope_variance_prior: InverseGammaPrior
     observation_variance_prior: InverseGammaPrior
@@ -138,27 +183,38 @@ class LocalLinearTrend:
         if np.isfinite(y).sum() < 3:
             raise StateSpaceError("a trend needs three observations")
 
-    def chain(self, y, draws, warmup, thin, rng):
-        a, b, r = self.level_variance_prior.mode, self.slope_variance_prior.mode, self.observation_variance_prior.mode
-        seen, out = ~np.isnan(y), []
+    def _layout(self):
+        return 8, 0
+
+    def _priors(self):
+        return self.level_variance_prior, self.slope_variance_prior, self.observation_variance_prior
+
+    def _moves(self):
+        return [(0, 0, 1.0), (1, 0, -1.0), (1, 1, -1.0)], [(0, 1, 1.0), (1, 1, -1.0)]
+
+    def _observed(self):
+        return [(0, 0, 1.0)]
+
+    def _system(self, a=1.0, b=1.0, r=1.0):
         c = self.initial_level_slope_covariance
-        start = np.array([[self.initial_level_variance, c], [c, self.initial_slope_variance]])
-        for i in range(warmup + draws * thin):
-            s = kalman.System(np.array([[1.0, 1], [0, 1]]), np.array([1.0, 0]), np.diag([a, b]), r, np.array([self.initial_level, self.initial_slope], float), start)
-            x = kalman.draw_states(s, y, rng)
-            level, slope = x[:, 0], x[:, 1]
-            a = self.level_variance_prior.draw(rng, len(y), float(np.square(np.diff(level) - slope[:-1]).sum()))
-            b = self.slope_variance_prior.draw(rng, len(y), float(np.square(np.diff(slope)).sum()))
-            r = self.observation_variance_prior.draw(rng, seen.sum(), float(np.square(y[seen] - level[1:][seen]).sum()))
-            if i >= warmup and (i + 1 - warmup) % thin == 0:
-                out.append((a, b, r, level[-1], slope[-1]))
-        return out
+        covariance = np.array([[self.initial_level_variance, c], [c, self.initial_slope_variance]], float)
+        return kalman.System(np.array([[1.0, 1], [0, 1]]), np.array([1.0, 0]), np.diag([a, b]), r, np.array([self.initial_level, self.initial_slope], float), covariance)
+
+    def _first(self, covariance, mean):
+        return np.linalg.inv(covariance), mean
+
+    def _filtered(self, y, variances, rng):
+        return kalman.draw_states(self._system(*variances), y, rng)
+
+    def _last(self, places):
+        return places[-1].tolist()
 
 
 @dataclass(frozen=True)
-class SeasonalLocalLevel:
-    """The state's moves are a shift but for two rows, so predictions move rows and columns instead of
-    multiplying matrices: a sweep costs T s² and not T s³."""
+class SeasonalLocalLevel(_TwoStates):
+    """Level and season of a step are the two states of its place; the season's moves reach back a period,
+    so blocks are a period wide.  A sweep costs T s² either way: in the filter, too, whose predictions move
+    rows and columns instead of multiplying matrices."""
 
     period: int
     level_variance_prior: InverseGammaPrior
@@ -233,19 +289,60 @@ class SeasonalLocalLevel:
             x[t + 1, 1] += b * adj[t, 1]
         return x + fake
 
-    def chain(self, y, draws, warmup, thin, rng):
-        a, b, r = self.level_variance_prior.mode, self.seasonal_variance_prior.mode, self.observation_variance_prior.mode
-        start = kalman.seasonal_local_level(self.period, a, b, r, self.initial_level, self.initial_seasonal_effects, self.initial_level_variance, self.initial_seasonal_variance)
-        seen, out = ~np.isnan(y), []
-        for i in range(warmup + draws * thin):
-            x = self._states(y, a, b, r, start, rng)
-            level, season = x[:, 0], x[:, 1]
-            a = self.level_variance_prior.draw(rng, len(y), float(np.square(np.diff(level)).sum()))
-            b = self.seasonal_variance_prior.draw(rng, len(y), float(np.square(season[1:] + x[:-1, 1:].sum(1)).sum()))
-            r = self.observation_variance_prior.draw(rng, seen.sum(), float(np.square(y[seen] - (level + season)[1:][seen]).sum()))
-            if i >= warmup and (i + 1 - warmup) % thin == 0:
-                out.append((a, b, r, level[-1], x[-1, 1:].tolist()))
-        return out
+    def _layout(self):
+        return max(self.period, 8), self.period - 2
+
+    def _priors(self):
+        return self.level_variance_prior, self.seasonal_variance_prior, self.observation_variance_prior
+
+    def _moves(self):
+        return [(0, 0, 1.0), (1, 0, -1.0)], [(j, 1, 1.0) for j in range(self.period)]
+
+    def _observed(self):
+        return [(0, 0, 1.0), (0, 1, 1.0)]
+
+    def _system(self, a=1.0, b=1.0, r=1.0):
+        return kalman.seasonal_local_level(self.period, a, b, r, self.initial_level, self.initial_seasonal_effects, self.initial_level_variance, self.initial_seasonal_variance)
+
+    def _first(self, covariance, mean):
+        """Seasons stand from the oldest on at the first places; the level is known at the last of them alone."""
+        n, variances = self.period - 1, np.diag(covariance)
+        precision, first = np.zeros(2 * n), np.zeros(2 * n)
+        precision[1::2], first[1::2] = 1 / variances[:0:-1], mean[:0:-1]
+        precision[-2], first[-2] = 1 / variances[0], mean[0]
+        return np.diag(precision), first
+
+    def _filtered(self, y, variances, rng):
+        x = self._states(y, *variances, self._system(*variances), rng)
+        places = np.zeros((self.period - 2 + len(x), 2))
+        places[self.period - 2 :, 0], places[self.period - 1 :, 1] = x[:, 0], x[1:, 1]
+        places[: self.period - 1, 1] = x[0, :0:-1]
+        return places
+
+    def _last(self, places):
+        return places[-1, 0], places[: -self.period : -1, 1].tolist()
+
+
+#: Numbers in one matrix of a batch of chains; about ten such matrices are held.
+MOST_BATCH = 1_000_000
+
+
+def _elements(frames):
+    """(series, chain, observations) one after another, from frames of rows sorted by series, chain and time."""
+    key, parts = None, []
+    for pdf in frames:
+        names, chains = pdf["series_id"].to_numpy(object), pdf["chain"].to_numpy()
+        cuts = [0, *(np.flatnonzero((names[1:] != names[:-1]) | (chains[1:] != chains[:-1])) + 1).tolist(), len(pdf)]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if key != (names[a], chains[a]):
+                if parts:
+                    yield *key, kalman._values(pd.concat(parts))
+                key, parts = (names[a], chains[a]), []
+            parts.append(pdf.iloc[a:b])
+    if parts:
+        yield *key, kalman._values(pd.concat(parts))
 
 
 def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed=42, most=MOST_RETAINED) -> DataFrame:
@@ -254,20 +351,32 @@ def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed
     check_size(chains * draws * len(model.NAMES), most, "a series' draws")
     kind = lambda n: "array<double>" if n == "terminal_seasonal" else "double"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, chain, y = pdf["series_id"].iloc[0], int(pdf["chain"].iloc[0]), kalman._values(pdf)
-        model.check(y)
-        got = model.chain(y, draws, warmup, thin, _rng(seed, name, chain, FIT))
-        out = pd.DataFrame(got, columns=list(model.NAMES))
-        out.insert(0, "draw", np.arange(draws))
-        out.insert(0, "chain", chain)
-        out.insert(0, "series_id", name)
-        return out
+    def together(batch):
+        got = model.run([y for _, _, y in batch], draws, warmup, thin, [_rng(seed, name, int(chain), FIT) for name, chain, _ in batch])
+        for (name, chain, _), kept in zip(batch, got):
+            out = pd.DataFrame(kept, columns=list(model.NAMES))
+            out.insert(0, "draw", np.arange(draws))
+            out.insert(0, "chain", chain)
+            out.insert(0, "series_id", name)
+            yield out
+
+    def run(frames):
+        batch, held = [], 0
+        for element in _elements(frames):
+            model.check(element[2])
+            values = model.values(len(element[2]))
+            if batch and held + values > MOST_BATCH:
+                yield from together(batch)
+                batch, held = [], 0
+            batch.append(element)
+            held += values
+        if batch:
+            yield from together(batch)
 
     columns = ", ".join(f"{n} {kind(n)}" for n in model.NAMES)
-    # a chain costs far more than its rows, so small ones must not be put into one task
-    dealt = _chains(series.select("series_id", "t", "y"), chains).repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "chain")
-    return dealt.groupBy("series_id", "chain").applyInPandas(run, f"series_id string, chain int, draw int, {columns}")
+    # a chain costs far more than its rows: ranges, which a sample of the rows balances, leave no task with several chains while others have none
+    dealt = _chains(series.select("series_id", "t", "y"), chains).repartitionByRange(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "chain")
+    return dealt.sortWithinPartitions("series_id", "chain", "t").mapInPandas(run, f"series_id string, chain int, draw int, {columns}")
 
 
 def _check_steps(fitted: DataFrame, steps: int, most: int | None) -> None:
@@ -313,20 +422,24 @@ def forecast_trend(fitted: DataFrame, steps: int, seed=43, most: int | None = No
 
 
 def forecast_seasonal(fitted: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
-    """The seasonal states of a draw are an array that is folded over the steps, once for each draw."""
+    """The seasonal states of a draw are an array that is folded over the steps' shocks, once for each draw."""
     _check_steps(fitted, steps, most)
-    noise = lambda name, k: normal(seed ^ FORECAST, F.lit(name), "series_id", "chain", "draw", k)
+    kinds = {"seasonal": ("season", "seasonal_variance"), "level": ("level", "level_variance"), "seen": ("obs", "observation_variance")}
+    one = lambda name, variance, k: F.sqrt(variance) * normal(seed ^ FORECAST, F.lit(name), "series_id", "chain", "draw", k)
+    shocks = F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda k: F.struct(*[one(*of, k).alias(to) for to, of in kinds.items()]))
     start = F.struct(F.col("terminal_level").alias("level"), F.col("terminal_seasonal").alias("states"), F.array().cast("array<struct<level:double,seasonal:double,observation:double>>").alias("out"))
 
-    def move(state, k):
-        states = state["states"]
-        now = -F.aggregate(states, F.lit(0.0), lambda a, v: a + v) + F.sqrt("seasonal_variance") * noise("season", k)
-        level = state["level"] + F.sqrt("level_variance") * noise("level", k)
-        seen = level + now + F.sqrt("observation_variance") * noise("obs", k)
-        one = F.struct(level.alias("level"), now.alias("seasonal"), seen.alias("observation"))
-        return F.struct(level.alias("level"), F.concat(F.array(now), F.slice(states, F.lit(1), F.size(states) - 1)).alias("states"), F.concat(state["out"], F.array(one)).alias("out"))
+    def move(state, shock):
+        # the season's new effect is put in front first, so that it is worked out once and read from there
+        states = F.concat(F.array(-F.aggregate(state["states"], F.lit(0.0), lambda a, v: a + v) + shock["seasonal"]), state["states"])
+        return F.struct((state["level"] + shock["level"]).alias("level"), states.alias("states"), state["out"].alias("out"))
+
+    def tell(state, shock):
+        now = state["states"][0]
+        told = F.struct(state["level"].alias("level"), now.alias("seasonal"), (state["level"] + now + shock["seen"]).alias("observation"))
+        return F.struct(state["level"].alias("level"), F.slice(state["states"], F.lit(1), F.size(state["states"]) - 1).alias("states"), F.concat(state["out"], F.array(told)).alias("out"))
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, move)["out"]
+    path = F.aggregate(shocks, start, lambda state, shock: F.transform(F.array(move(state, shock)), lambda moved: tell(moved, shock))[0])["out"]
     paths = fitted.select("series_id", "chain", "draw", F.posexplode(path).alias("at", "x"))
     return _with_cumulative(paths.select("series_id", "chain", "draw", (F.col("at") + 1).alias("step"), "x.*"), "level", "seasonal")
 
