@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import densities as L
 from ..functions.special import exponential, normal
-from ..operators import fits
+from ..operators import fits, panel
 from ..operators import predictive as P
 from ..operators import quality as V
 from ..operators import samplers as H
@@ -455,4 +455,36 @@ def fixed_effects_panel(spark, sf):
     return W.nig_posterior(W.gaussian_sums(hot, xs, "y", ["series_id"]), 8, np.zeros(8), 0.01 * np.eye(8), 2.0, 1.0)
 
 
+@query("""WITH rows AS (SELECT l_returnflag AS g, l_suppkey AS a, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem),
+ s AS (SELECT g, a, count(*) / 225.0::DOUBLE + 1 / 400.0::DOUBLE AS d, sum(x) / 225.0::DOUBLE AS x, sum(y) / 225.0::DOUBLE AS b FROM rows GROUP BY ALL),
+ t AS (SELECT g, sum(x * x) / 225.0::DOUBLE + 1 / 25.0::DOUBLE AS xx, sum(x * y) / 225.0::DOUBLE AS xy FROM rows GROUP BY ALL),
+ u AS (SELECT g, sum(x * x / d) AS xx, sum(x * b / d) AS xy FROM s GROUP BY ALL),
+ r AS (SELECT t.g, t.xx - u.xx AS p, (t.xy - u.xy) / (t.xx - u.xx) AS slope FROM t JOIN u ON t.g = u.g)
+ SELECT g AS l_returnflag, 'l_suppkey' AS term, a::VARCHAR AS level, round((b - x * slope) / d, 6) AS mean, round(sqrt(1 / d + (x / d) * (x / d) / p), 6) AS sd FROM s JOIN r USING (g)
+ UNION ALL SELECT g, 'l_quantity', NULL, round(slope, 6), round(sqrt(1 / p), 6) FROM r""")
+def supplier_effects(spark, sf):
+    """Price on an effect for each supplier and a slope, for each return flag: suppliers are eliminated one by one."""
+    rows = table(spark, sf, "lineitem").select("l_returnflag", "l_suppkey", "l_quantity", (F.col("l_extendedprice") / 1000).alias("y"))
+    return panel.panel_effects(rows, {"l_suppkey": 20.0}, {"l_quantity": 5.0}, "y", 15.0, by="l_returnflag").select("l_returnflag", "term", "level", r("mean"), r("sd"))
+
+
+PANEL = {"l_suppkey": 20.0, "week": 10.0, "l_quantity": 50.0, "l_linenumber": 20.0, "l_linestatus": 30.0}, {"trend": 20.0, "x_sin": 20.0, "x_cos": 20.0}
+
+
+def panel_rows(spark, sf):
+    """Lines with their week, quantity as a level, trend and a yearly wave, as one panel."""
+    day = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    angle = 2 * F.pi() * day / 365.25
+    return table(spark, sf, "lineitem").select(
+        F.lit("all").alias("series_id"), "l_suppkey", F.weekofyear("l_shipdate").alias("week"), F.col("l_quantity").cast("int").alias("l_quantity"), "l_linenumber", "l_linestatus",
+        (day / 2600).alias("trend"), F.sin(angle).alias("x_sin"), F.cos(angle).alias("x_cos"), (F.col("l_extendedprice") / 1000).alias("y"),
+    )
+
+
+@query()
+def panel_indicators(spark, sf):
+    """Effects of every supplier, week, quantity, line number and status, and the slopes: no indicator is a column."""
+    return panel.panel_effects(panel_rows(spark, sf), *PANEL, "y", 15.0)
+
+
 __all__ = ["ORACLES", "QUERIES", "T", "regression_model"]
