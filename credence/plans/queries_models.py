@@ -412,6 +412,25 @@ def gibbs_seasonal(spark, sf):
     return _path_summary(M.forecast_seasonal(M.fit(_revenue(spark, sf), M.SeasonalLocalLevel(7, PRIOR, PRIOR, PRIOR), chains=2, draws=100, warmup=50), 7))
 
 
+def weekly_revenue(spark, sf):
+    """(series_id, t, y): revenue of all lines in millions by week from Monday, t in weeks; weeks without lines are null."""
+    weeks = table(spark, sf, "lineitem").groupBy(F.date_trunc("week", "l_shipdate").cast("date").alias("week")).agg((F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) / 1e6).alias("y"))
+    span = weeks.agg(F.min("week").alias("first"), F.max("week").alias("end")).where("first IS NOT NULL")
+    grid = span.select("first", F.explode(F.sequence("first", "end", F.expr("interval 7 days"))).alias("week"))
+    return grid.join(weeks, "week", "left").select(F.lit("all").alias("series_id"), F.floor(F.datediff("week", "first") / 7).cast("int").alias("t"), "y")
+
+
+def yearly_season(series, draws=1000, warmup=500):
+    """Four chains of a seasonal level with a period of 52 weeks."""
+    return M.fit(series, M.SeasonalLocalLevel(52, PRIOR, PRIOR, PRIOR, initial_level_variance=1e4), chains=4, draws=draws, warmup=warmup)
+
+
+@query()
+def gibbs_yearly_season(spark, sf):
+    """The next 26 weeks of all weekly revenue, by the season of the year."""
+    return _path_summary(M.forecast_seasonal(yearly_season(weekly_revenue(spark, sf), 100, 50), 26))
+
+
 @query(f"WITH {O.SERIES} SELECT series_id, 2 AS chains, 4 AS draws, count(*) AS time_count, count(y) AS observed_count, 6::BIGINT AS warmup, 2::BIGINT AS thin, 42::BIGINT AS seed, NULL::BIGINT AS period, NULL::BIGINT AS \"order\", 'gibbs' AS inference_method FROM series GROUP BY ALL")
 def series_fit_metadata(spark, sf):
     s = daily_revenue(spark, sf)

@@ -58,6 +58,13 @@ def test_series_models_see_whole_series(spark, sf, monkeypatch, name):
     assert e.value.args == (daily_revenue(spark, sf).count(),)
 
 
+def test_weekly_revenue_is_all_revenue(spark, sf):
+    weeks = Q.weekly_revenue(spark, sf).orderBy("t").collect()
+    want = table(spark, sf, "lineitem").agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount")))).first()[0]
+    assert [w.t for w in weeks] == list(range(len(weeks))) and sum(w.y or 0 for w in weeks) == pytest.approx(want / 1e6)
+    assert Q.weekly_revenue(spark, sf).count() > 300 and Q.gibbs_yearly_season(spark, sf).count() == 26
+
+
 def test_rollup_and_export_take_all_groups(spark, sf):
     groups = Q.programs(spark, sf).select("group_id").distinct().count()
     assert groups > 2 and Q.hierarchy_forecast_rollup(spark, sf).select("group_id").distinct().count() == groups + 1
