@@ -52,6 +52,8 @@ def _rng(seed: int, series: str, chain: int, domain: int) -> np.random.Generator
 
 #: Values that a fit may retain for a series, and a forecast for a draw table, unless told otherwise.
 MOST_RETAINED, MOST_FORECAST = 50_000_000, 25_000_000
+#: Draws of groups that each task of a hierarchy may be given; more are joined.
+MOST_BROADCAST = 500_000
 
 
 def check_size(values: int, most: int, what: str) -> None:
@@ -65,6 +67,10 @@ def _check_run(chains: int, draws: int, warmup: int = 0, thin: int = 1) -> None:
         raise StateSpaceError("chains, draws and thin must be 1 or more")
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _chains(series: DataFrame, chains: int) -> DataFrame:
     return series.select("*", F.explode(F.sequence(F.lit(0), F.lit(chains - 1))).alias("chain"))
 
@@ -375,7 +381,7 @@ def fit(series: DataFrame, model, chains=4, draws=1000, warmup=500, thin=1, seed
 
     columns = ", ".join(f"{n} {kind(n)}" for n in model.NAMES)
     # a chain costs far more than its rows: ranges, which a sample of the rows balances, leave no task with several chains while others have none
-    dealt = _chains(series.select("series_id", "t", "y"), chains).repartitionByRange(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), "series_id", "chain")
+    dealt = _chains(series.select("series_id", "t", "y"), chains).repartitionByRange(_tasks(series), "series_id", "chain")
     return dealt.sortWithinPartitions("series_id", "chain", "t").mapInPandas(run, f"series_id string, chain int, draw int, {columns}")
 
 
@@ -495,58 +501,84 @@ class HierarchicalMean:
     population_mean_prior: float = 0.0
     population_variance_prior: float = 100.0
 
-    def fit(self, programs: DataFrame, chains=4, draws=1000, warmup=500, thin=1, seed=42, most=MOST_RETAINED) -> DataFrame:
+    def fit(self, programs: DataFrame, chains=4, draws=1000, warmup=500, thin=1, seed=42, most: int | None = None) -> DataFrame:
         """Draws in long form (chain, draw, param, id, value) from programs (program_id, group_id, y).
 
-        A fit that would hold more than ``most`` values is refused; a program has one group.
-        Rows are aggregated to count, sum and squares of each program first; a chain sees those alone."""
+        A program has one group.  With ``most``, a fit that would have more values than that is refused.
+        Rows are aggregated to count, sum and squares of each program, these to cells of programs with one group and
+        count.  Given means and variances above them, programs are independent, so a chain draws the sums over a cell's
+        programs that its other steps need, and holds cells alone; the programs' own draws are expressions over kept draws."""
         _check_run(chains, draws, warmup, thin)
         sums = hierarchy_sums(programs)
-        size = sums.agg(F.count("*").alias("pairs"), F.count_distinct("program_id").alias("programs"), F.count_distinct("group_id").alias("groups")).first()
+        size = sums.agg(F.count("*").alias("pairs"), F.count_distinct("program_id").alias("programs"), F.count_distinct("group_id").alias("groups"), F.min("n").alias("least")).first()
         if size["pairs"] != size["programs"]:
             raise InferenceError("a program belongs to one group")
-        check_size(chains * draws * (4 + size["groups"] + size["programs"]), most, "a fit")
+        if size["pairs"] and size["least"] < 1:
+            raise InferenceError("every program needs an observation")
+        if most is not None:
+            check_size(chains * draws * (4 + size["groups"] + size["programs"]), most, "a fit")
+        scalars = ["population_mean", "group_variance", "program_variance", "observation_variance"]
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["group_id", "program_id"]).reset_index(drop=True)
-            n, total, within = pdf["n"].to_numpy(float), pdf["total"].to_numpy(float), pdf["within"].to_numpy(float)
-            if (n < 1).any():
-                raise InferenceError("every program needs an observation")
+            pdf = pdf.sort_values(["group_id", "n"]).reset_index(drop=True)
+            n, many, mean, apart = (pdf[c].to_numpy(float) for c in ("n", "many", "mean", "apart"))
+            within, rows, count = pdf["within"].sum(), (n * many).sum(), int(many.sum())
             chain = int(pdf["chain"].iloc[0])
             rng = _rng(seed, "hierarchy", chain, FIT)
-            names, group = np.unique(pdf["group_id"].to_numpy(str), return_inverse=True)
-            size, g, mean = np.bincount(group), len(names), total / n
-            programs_, groups_ = mean.copy(), np.bincount(group, mean) / size
+            group, names = pd.factorize(pdf["group_id"], use_na_sentinel=False)
+            size, g = np.bincount(group, many), len(names)
+            totals = np.bincount(group, many * mean)
+            groups_ = totals / size
             v_group, v_prog, v_obs = self.group_variance_prior.mode, self.program_variance_prior.mode, self.observation_variance_prior.mode
-            rows = []
+            kept = []
             for i in range(warmup + draws * thin):
                 prec = 1 / self.population_variance_prior + g / v_group
                 pop = (self.population_mean_prior / self.population_variance_prior + groups_.sum() / v_group) / prec + rng.standard_normal() / math.sqrt(prec)
                 prec = 1 / v_group + size / v_prog
-                groups_ = (pop / v_group + np.bincount(group, programs_) / v_prog) / prec + rng.standard_normal(g) / np.sqrt(prec)
+                groups_ = (pop / v_group + totals / v_prog) / prec + rng.standard_normal(g) / np.sqrt(prec)
+                # programs are group + weight * (own mean - group) + spread * z; along the cell's mean, along what its means are apart, and all else of z
                 prec = 1 / v_prog + n / v_obs
-                programs_ = (groups_[group] / v_prog + total / v_obs) / prec + rng.standard_normal(len(n)) / np.sqrt(prec)
-                v_obs = self.observation_variance_prior.draw(rng, n.sum(), float((within + n * (mean - programs_) ** 2).sum()))
-                v_prog = self.program_variance_prior.draw(rng, len(n), float(np.square(programs_ - groups_[group]).sum()))
+                weight, spread, off = n / v_obs / prec, 1 / np.sqrt(prec), mean - groups_[group]
+                one, two = rng.standard_normal(len(n)), rng.standard_normal(len(n)) * (many > 1)
+                noise = one**2 + two**2 + 2 * rng.standard_gamma(np.maximum(many - 2, 0) / 2)
+                data, both = apart + many * off**2, spread * (np.sqrt(apart) * two + np.sqrt(many) * off * one)
+                totals = np.bincount(group, many * (groups_[group] + weight * off) + spread * np.sqrt(many) * one)
+                missed = n * ((1 - weight) ** 2 * data - 2 * (1 - weight) * both + spread**2 * noise)
+                moved = weight**2 * data + 2 * weight * both + spread**2 * noise
+                v_obs = self.observation_variance_prior.draw(rng, rows, float(within + np.maximum(missed, 0).sum()))
+                v_prog = self.program_variance_prior.draw(rng, count, float(np.maximum(moved, 0).sum()))
                 v_group = self.group_variance_prior.draw(rng, g, float(np.square(groups_ - pop).sum()))
                 if i >= warmup and (i + 1 - warmup) % thin == 0:
-                    at = (i + 1 - warmup) // thin - 1
-                    rows.append((at, np.concatenate([[pop, v_group, v_prog, v_obs], groups_, programs_])))
-            k = 4 + g + len(n)
-            params = ["population_mean", "group_variance", "program_variance", "observation_variance", *["group_mean"] * g, *["program_mean"] * len(n)]
-            ids = [None] * 4 + names.tolist() + pdf["program_id"].tolist()
-            return pd.DataFrame({"chain": chain, "draw": np.repeat([a for a, _ in rows], k), "param": params * len(rows), "id": ids * len(rows), "value": np.concatenate([v for _, v in rows])})
-
-        # one chain of one hierarchy is sequential; it sees a row for each program
-        return _chains(sums, chains).groupBy("chain").applyInPandas(run, "chain int, draw int, param string, id string, value double")
+                    kept.append((chain, (i + 1 - warmup) // thin - 1, pop, v_group, v_prog, v_obs, names.tolist(), groups_.tolist()))
+            return pd.DataFrame(kept, columns=["chain", "draw", *scalars, "names", "means"])
+
+        mean = F.col("total") / F.col("n")
+        cells = sums.groupBy("group_id", "n").agg(F.count("*").alias("many"), F.avg(mean).alias("mean"), (F.var_pop(mean) * F.count("*")).alias("apart"), F.sum("within").alias("within"))
+        # one chain is sequential; it sees a row for each group and count of observations
+        above = _chains(cells, chains).groupBy("chain").applyInPandas(run, f"chain int, draw int, {', '.join(f'{c} double' for c in scalars)}, names array<string>, means array<double>")
+        named = F.transform(F.arrays_zip("names", "means"), lambda x: F.struct(F.lit("group_mean").alias("param"), x["names"].alias("id"), x["means"].alias("value")))
+        said = F.array(*[F.struct(F.lit(c).alias("param"), F.lit(None).cast("string").alias("id"), F.col(c).alias("value")) for c in scalars])
+        # the filter says what these rows are not, so that a plan that asks for programs alone doesn't come here
+        long = above.select("chain", "draw", F.explode(F.concat(said, named)).alias("e")).select("chain", "draw", "e.*").where("NOT param = 'program_mean'")
+
+        of_group = above.select("chain", "draw", "program_variance", "observation_variance", F.explode(F.arrays_zip("names", "means")).alias("e"))
+        of_group = of_group.groupBy(F.col("e.names").alias("name")).agg(F.collect_list(F.struct("chain", "draw", F.col("e.means").alias("mean"), "program_variance", "observation_variance")).alias("draws"))
+        if chains * draws * (size["groups"] + 1) <= MOST_BROADCAST:
+            of_group = F.broadcast(of_group)
+        # dealt by program, as a join of membership is, which then moves no draws
+        rows = sums.repartition(_tasks(programs), "program_id").join(of_group, F.col("group_id").cast("string").eqNullSafe(F.col("name"))).select(F.col("program_id").cast("string").alias("id"), "n", "total", F.explode("draws").alias("d"))
+        prec = 1 / F.col("d.program_variance") + F.col("n") / F.col("d.observation_variance")
+        value = (F.col("d.mean") / F.col("d.program_variance") + F.col("total") / F.col("d.observation_variance")) / prec + normal(seed ^ FIT, F.lit("program"), "id", "d.chain", "d.draw") / F.sqrt(prec)
+        return long.unionByName(rows.select("d.chain", "d.draw", F.lit("program_mean").alias("param"), "id", value.alias("value")))
 
 
 def forecast_hierarchy(fitted: DataFrame, membership: DataFrame, steps: int, seed=43, most: int | None = None) -> DataFrame:
     """(chain, draw, step, group_id, program_id, mean, observation): static means and noise."""
     _check_steps(fitted.where("param = 'program_mean'"), steps, most)
     means = fitted.where("param = 'program_mean'").select("chain", "draw", F.col("id").alias("program_id"), F.col("value").alias("mean"))
-    noise = fitted.where("param = 'observation_variance'").select("chain", "draw", F.col("value").alias("v"))
-    grid = means.join(noise, ["chain", "draw"]).join(membership.select("program_id", "group_id").distinct(), "program_id")
+    noise = fitted.where("param = 'observation_variance'").select("chain", "draw", F.col("value").alias("v"))  # a row for each draw
+    of = membership.select(F.col("program_id").cast("string").alias("program_id"), "group_id").distinct().repartition(_tasks(membership), "program_id")
+    grid = means.join(F.broadcast(noise), ["chain", "draw"]).join(of.hint("shuffle_hash"), "program_id")
     grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     z = normal(seed ^ FORECAST, "program_id", "chain", "draw", "step")
     return grid.select("chain", "draw", "step", "group_id", "program_id", "mean", (F.col("mean") + F.sqrt("v") * z).alias("observation"))
