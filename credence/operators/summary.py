@@ -179,7 +179,8 @@ def thinned(draws: DataFrame, warmup: int, thin: int) -> DataFrame:
 
 def rollup_paths(paths: DataFrame, group: str = "group_id", value: str = "observation") -> DataFrame:
     """Sums over programs within (chain, draw, step): for each group, and in total (null group)."""
-    return paths.rollup("chain", "draw", "step", group).agg(F.sum(value).alias(value), F.grouping_id().alias("level")).where("level <= 1").drop("level")
+    groups = paths.groupBy("chain", "draw", "step", group).agg(F.sum(value).alias(value))
+    return groups.rollup("chain", "draw", "step", group).agg(F.sum(value).alias(value), F.grouping_id().alias("level")).where("level <= 1").drop("level")
 
 
 def draw_subsample(draws: DataFrame, n: int, seed: int = 42) -> DataFrame:
