@@ -30,7 +30,7 @@ BLOCKS = 64
 AT_ONCE = 1 << 20
 MOST_ENERGY = 1000.0
 #: Chains that a task steps together, and numbers that their draws or sums may take.
-TOGETHER, MOST_NUMBERS = 256, 4_000_000
+TOGETHER, MOST_NUMBERS = 1024, 4_000_000
 
 
 def digamma(x: np.ndarray) -> np.ndarray:
