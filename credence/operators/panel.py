@@ -1,9 +1,10 @@
 """Panels with fixed effects: a Gaussian regression on many indicators and a few slopes, from sums alone.
 
 An indicator's column is never made.  What the normal equations need of indicators are counts of levels, of
-pairs of levels, and sums of slopes and response by level: grouping sets of one aggregate.  The levels of the
-largest factor are coupled with others but not among themselves, so they are eliminated first, each on its
-own row, and found again from the solution of the rest; only the rest's matrix is dense.
+pairs of levels, and sums of slopes and response by level: grouping sets of one aggregate, but for the largest
+factor, whose rows are dealt out by level and summed there.  That factor's levels are coupled with others but not
+among themselves, so they are eliminated first, each on its own row, and found again from the solution of the
+rest; only the rest's matrix is dense.
 """
 
 from __future__ import annotations
@@ -86,24 +87,26 @@ def panel_effects(rows: DataFrame, factors: Mapping[str, float], slopes: Mapping
     levels, sums = {f: f"level_{i}" for i, f in enumerate([first, *others])}, {x: f"sum_{i}" for i, x in enumerate([*slopes, RESPONSE])}
     wide = rows.select(F.col(by).alias("g"), *[_spelled(f).alias(c) for f, c in levels.items()], *[_finite(y if x is RESPONSE else x).alias(c) for x, c in sums.items()])
 
-    names = list(levels.values())
+    names = list(levels.values())[1:]
     sets = [["g", a] for a in names] + [["g", a, b] for k, a in enumerate(names) for b in names[k + 1 :]]
-    counted = wide.groupingSets([[F.col(c) for c in s] for s in sets], "g", *names).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in sums.values()])
+    counted = wide.groupingSets([[F.col(c) for c in s] for s in sets], "g", *names).agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in sums.values()]) if names else None
     # levels of a factor that a set leaves out are null; a null level itself is spelled
     entry = lambda i, j, v: F.struct(i.alias("i"), j.alias("j"), v.alias("v"))
     at = {f: _key(k, F.col(levels[f])) for k, f in enumerate(others)}
     slope = {x: _key(len(others) + k) if x is not RESPONSE else F.lit(RESPONSE) for k, x in enumerate(sums)}
     of_level = lambda i: [entry(i, slope[x], F.col(c)) for x, c in sums.items()]
     n, here = F.col("n"), {f: F.col(c).isNotNull() for f, c in levels.items()}
-    alone = lambda f: reduce(lambda a, b: a & b, [~here[o] for o in levels if o != f], here[f])
+    alone = lambda f: reduce(lambda a, b: a & b, [~here[o] for o in others if o != f], here[f])
     nothing = F.array().cast("array<struct<i:string,j:string,v:double>>")
 
-    # the eliminated factor: a row for each level, with its sums by parameter of the rest
-    own = F.when(alone(first), F.array(*of_level(F.lit("")), entry(F.lit(""), F.lit("n"), n)))
-    for f in others:
-        own = own.when(here[first] & here[f], F.array(entry(F.lit(""), at[f], n)))
-    own = counted.where(here[first]).select("g", F.col(levels[first]).alias("level"), F.explode(own).alias("e"))
-    own = own.groupBy("g", "level").agg(F.max(F.when(F.col("e.j") == "n", F.col("e.v"))).alias("n"), F.collect_list(F.when(F.col("e.j") != "n", F.struct(F.col("e.j").alias("j"), F.col("e.v").alias("v")))).alias("e"))
+    # the eliminated factor: a row for each level, with its sums by parameter of the rest; its rows are dealt out by
+    # level once, as they hardly meet before, and all sums are made there
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parted = wide.repartition(tasks, "g", levels[first])
+    each = F.array(*[entry(F.lit(""), slope[x], F.col(c)) for x, c in sums.items()], entry(F.lit(""), F.lit("n"), F.lit(1.0)), *[entry(F.lit(""), at[f], F.lit(1.0)) for f in others])
+    own = parted.select("g", F.col(levels[first]).alias("level"), F.explode(each).alias("e"))
+    own = own.groupBy("g", "level", "e.j").agg(F.sum("e.v").alias("v"))
+    own = own.groupBy("g", "level").agg(F.max(F.when(F.col("j") == "n", F.col("v"))).alias("n"), F.collect_list(F.when(F.col("j") != "n", F.struct("j", "v"))).alias("e"))
     own = own.select("g", "level", (n * weight + 1 / factors[first] ** 2).alias("d"), F.col("e.j").alias("names"), F.col("e.v").alias("sums"))
 
     # the rest: counts and sums of its levels, products of slopes and response
@@ -112,12 +115,12 @@ def panel_effects(rows: DataFrame, factors: Mapping[str, float], slopes: Mapping
         told = told.when(alone(f), F.array(entry(at[f], at[f], n), *of_level(at[f]), *[entry(slope[x], at[f], F.col(c)) for x, c in sums.items() if x is not RESPONSE]))
         for o in others[k + 1 :]:
             told = told.when(here[f] & here[o], F.array(entry(at[f], at[o], n), entry(at[o], at[f], n)))
-    rest = counted.where(~here[first]).select("g", F.explode(told).alias("e")).select("g", "e.*")
+    rest = counted.select("g", F.explode(told).alias("e")).select("g", "e.*") if names else None
     pairs = [(a, b) for a in sums for b in sums]
     dense = wide.groupBy("g").agg(*[F.sum(F.col(sums[a]) * F.col(sums[b])).alias(f"p{k}") for k, (a, b) in enumerate(pairs)])
     dense = dense.select("g", F.explode(F.array(*[entry(slope[a], slope[b], F.col(f"p{k}")) for k, (a, b) in enumerate(pairs)])).alias("e")).select("g", "e.*")
     run, shape = _eliminated(weight, kind, "g")
-    equations = rest.unionByName(dense).withColumn("v", F.col("v") * weight).unionByName(own.select("g", "d", "names", "sums").mapInPandas(run, shape))
+    equations = (dense if rest is None else rest.unionByName(dense)).withColumn("v", F.col("v") * weight).unionByName(own.select("g", "d", "names", "sums").mapInPandas(run, shape))
     equations = equations.where(F.col("i") != RESPONSE).groupBy("g", "i", "j").agg(F.sum("v").alias("v"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
