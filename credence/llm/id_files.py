@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,6 +32,11 @@ from .token_counts import _tokenizer, chunks
 MAGIC = b"CREDIDS1"
 #: Runs that a worker remembers before it starts again.
 MEMO = 1_000_000
+#: Runs of characters that no normalisation but lower-casing changes, alone or side by side: visible ASCII, letters
+#: of Latin-1 and Latin Extended-A but for the dotted capital I (which becomes two characters), and marks of prose.
+SAFE = re.compile("[!-~À-ÖØ-öø-įı-ſ«»„“”‘’–—…¡¿]+").fullmatch
+#: The letters that byte-level vocabularies write for bytes.
+BYTE_LEVEL = {b: chr(c) for c, b in enumerate((b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)), 256)}
 #: Ids or documents after which a task begins a new file; it holds a key and a count for each document.
 FILE_IDS, FILE_DOCS = 64_000_000, 2_000_000
 _U = np.uint64
@@ -177,28 +184,79 @@ class FileReader:
         self.src.close()
 
 
+#: How this vocabulary normalises and cuts: what ``Runs`` does on SAFE runs holds for these settings.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+    "padding": None,
+}
+
+
+def _cutter(tok):
+    """The pattern that cuts a lower-cased SAFE run into the library's pre-tokens; None for a vocabulary of other settings."""
+    import regex
+
+    spec = json.loads(tok.to_str())
+    if any(spec[k] != v for k, v in KNOWN.items()) or any(t["normalized"] or t["content"].isalpha() for t in spec["added_tokens"]):
+        return None
+    return regex.compile(KNOWN["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+
+
+class Runs(dict):
+    """The ids of runs as bytes; a run that isn't known yet is encoded and kept.
+
+    Runs of SAFE characters are lower-cased and cut into pre-tokens, which (alone, such runs themselves)
+    get their ids from the library's model; any other run is encoded whole by the library, and so is
+    one with a special string."""
+
+    def __init__(self, path: str, dtype: str):
+        super().__init__()
+        self.tok, code = _tokenizer(path), np.dtype(dtype).char
+        self.cut, self.model = _cutter(self.tok), self.tok.model
+        special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or r"(?!)").search
+        self.pack = lru_cache(1024)(lambda n: struct.Struct(f"<{n}{code}").pack)
+
+    def __missing__(self, run: str) -> bytes:
+        if not self.cut or not SAFE(run) or not run.isalpha() and self.special(run):
+            ids = self.tok.encode(run, add_special_tokens=False).ids
+            found = self.pack(len(ids))(*ids)
+        else:
+            low = run.lower()
+            pieces = [low] if low.isalpha() else self.cut.findall(low)
+            if pieces == [run]:
+                seen = run if run.isascii() else run.encode().decode("latin-1").translate(BYTE_LEVEL)
+                ids = [t.id for t in self.model.tokenize(seen)]
+                found = self.pack(len(ids))(*ids)
+            else:
+                found = b"".join(map(self.__getitem__, pieces))
+        self[run] = found
+        return found
+
+
 class RunEncoder:
     """Ids of texts.  Splitting at single spaces and line ends changes nothing for a vocabulary that
-    drops white space, so each distinct run is encoded by the library once for a worker."""
+    drops white space, so each distinct run is encoded once for a worker."""
 
     def __init__(self, path: str, end_id: int, dtype: str):
-        self.tok, self.dtype = _tokenizer(path), dtype
+        self.memo = Runs(path, dtype)
         self.end = np.array([end_id], dtype).tobytes()
-        self.memo: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set().union(*runs).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = set().union(*runs)
-        new = list(new)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for run, e in zip(part, self.tok.encode_batch(part, add_special_tokens=False)):
-                self.memo[run] = np.array(e.ids, self.dtype).tobytes()
-        seen = self.memo.__getitem__
-        return [b"".join(map(seen, r)) + self.end for r in runs]
+        ids, out = self.memo.__getitem__, []
+        for text in texts:
+            if len(self.memo) > MEMO:
+                self.memo.clear()
+            out.append(b"".join(map(ids, text.replace("\n", " ").split(" "))) + self.end)
+        return out
 
 
 @cache
